@@ -68,7 +68,7 @@ def digests(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), dtype="<i8").reshape(-1, 2)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 32 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """The batch in slices of about limit bytes of text, so that a run of long texts is not turned into objects at once."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, start = 0, 0

@@ -163,7 +163,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         spot, last = Spotter(words, chain), None
         for batch in batches:
             out: list[tuple] = []
-            for part in slices(batch, "_text", 8 << 20):
+            for part in slices(batch, "_text"):
                 for slot, guest, doc, text in zip(*(part.column(i).to_pylist() for i in range(4))):
                     if guest and (last is None or last[0] != slot):
                         continue
