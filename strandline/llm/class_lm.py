@@ -11,7 +11,7 @@ class transitions and of the words' emission probabilities in their classes:
 with e(w | c) = n(w) / n(c), and (n(w) + 1) / (n(rare) + V(rare) + 1) for rare words.  The end of a text is a class and
 a token of its own; a text starts after an end.
 
-Counts cover all training text.  The driver holds what is bounded by parameters: the `listed` most frequent words, at
+Counts cover all training text.  The driver holds what is bounded by parameters: at most `listed` of the most frequent words, at
 most (head + 1)**2 pair counts, at most 2 * placed * (classes + 2) neighbour counts, (classes + 2)**2 transitions.  Every other
 word meets its count in a join on the word; such a word is never frequent, so the join is not skewed, and
 each text sends it once.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digests, held_out, slices, words, written
+from .common import digests, held_out, most_frequent, slices, words, written
 
 #: The end of a text in tables of words; no word has a blank.
 STOP = b" "
@@ -215,9 +215,10 @@ def fit_classes(training: DataFrame, text_col: str = "text", classes: int = 64,
     counts = word_table(training, text_col)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     real = counts.where(F.col("word") != F.lit(STOP))
-    top = real.orderBy(F.desc("n"), "word").limit(listed).toArrow()
-    names = [bytes(w) for w in top.column("word").to_pylist()]
-    n = top.column("n").to_numpy()
+    top = most_frequent(real, "n", listed).toArrow()
+    top = sorted(zip(top.column("n").to_pylist(), top.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
+    names = [bytes(w) for _, w in top]
+    n = np.array([c for c, _ in top], dtype=np.int64)
     m, reach = min(head, len(names)), min(placed, len(names))
     rare, stop, kinds = classes, classes + 1, classes + 2
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, words, written
+from .common import most_frequent, partitions, slices, words, written
 from .components import components
 
 TOP = np.uint64(1) << np.uint64(63)
@@ -315,8 +315,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     base = written(_sets_and_counts(docs, id_col, text_col, rule), "sets")
     sets = base.where("kind = 0").select("id", "d1", "d2", "n")
-    many = base.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(shared_limit)
-    many = np.array(sorted((r[1], r[0]) for r in many.collect()), dtype=np.int64).reshape(-1, 2)
+    many = written(base.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")), "shared")
+    many = np.array(sorted((r[1], r[0]) for r in most_frequent(many, "n", shared_limit).collect()), dtype=np.int64).reshape(-1, 2)
     by_value = np.argsort(many[:, 1])
     order = spark.sparkContext.broadcast((many[by_value, 1].astype(np.uint64), by_value.astype(np.uint64)))
 
