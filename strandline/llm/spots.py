@@ -71,7 +71,7 @@ class Spotter:
         known = self.known
         if len(known) > 300_000:
             known.clear()
-        for t in set(tokens) - known.keys():
+        for t in set(tokens).difference(known):
             known[t] = xxhash.xxh3_64_intdigest(t) & ~1 | (t in self.anchors)
         return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
