@@ -1,9 +1,10 @@
 """N-gram Jaccard join by a prefix tree.
 
-A document's set is its distinct k-word shingles as 63-bit hashes.  All sets follow one global order: shingles
-that many documents share come last, by how many, and all others by their hash.  Two sets that are alike enough must
-share a shingle among the first n - ceil(t * n) + 1 of both; documents that share one, at compatible sizes, are joined
-into candidate groups (chains within each shingle's list, so a list of m documents gives m - 1 edges and no pairs).
+A document's set is its distinct k-word shingles as 63-bit hashes.  Candidates follow one global order: shingles with a
+small hash by the number of sets that have them, then those with a larger hash, then those that very many documents
+share, by how many.  Two sets that are alike enough must share a shingle among the first n - ceil(t * n) + 1 of both,
+and a shingle of one set alone links nothing; documents that share one, at compatible sizes, are joined into
+candidate groups (chains within each shingle's list, so a list of m documents gives m - 1 edges and no pairs).
 Groups are joined exactly: each set walks a compressed trie of the group's sets, most shared shingles first,
 carrying the overlap of the path that sets have in common, and leaves a subtree when what is left of both
 sides cannot reach the overlap needed by the smallest set below, or when all sets below are linked to it already.
@@ -38,6 +39,8 @@ TOP = np.uint64(1) << np.uint64(63)
 #: Shingles below this can be among the first of a set; only they are counted for the order.
 COUNTED = np.uint64(3 << 60)
 LOCAL = 3
+#: Kinds of rows on the way to the deciding shingles, in the order in which a set meets its own.
+HEAD, LAST, COUNT = 0, 1, 2
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -51,6 +54,10 @@ class Rule:
         """How many first shingles of a set of n can decide."""
         return n + (-self.num * n) // self.den + 1
 
+    def cut(self) -> np.uint64:
+        """Below it lie about twice as many shingles of a set as decide."""
+        return np.uint64(int((0.02 + 1.8 * (1 - self.num / self.den)) * (1 << 63)))
+
     def linked(self, shared: int, n: int, m: int) -> bool:
         return self.den * shared >= self.num * (n + m - shared)
 
@@ -228,29 +235,107 @@ def _sets_and_counts(docs: DataFrame, id_col: str, text_col: str, rule: Rule) ->
 
 
 def _first_shingles(docs: DataFrame, text_col: str, rule: Rule, order) -> DataFrame:
-    """shingle, node, n: the deciding shingles of every set; a task gives a set that it has met before only once."""
+    """shingle, node, n: the deciding shingles of every set, in lists of no shingle that only one set has.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A set's shingles below rule.cut() are counted exactly: they go to their shingle, where those of one set are
+    dropped, and the others back to their set with the count.  There, as the dropped ones come first in the order, what
+    is left of the deciding places goes to the rarest others.  Shingles from the cut on are needed only by sets with
+    fewer deciding ones below it, and come last.
+    """
+    cut = rule.cut()
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, (shared, rank), met = Shingler(rule.k), order.value, set()
         for batch in batches:
             for part in slices(batch, text_col):
-                keys, nodes, sizes = [], [], []
+                heads, keys, nodes, kinds, sizes = [], [], [], [], []
                 for text in part.column(text_col).to_pylist():
                     s = shingles(text)
+                    # A task gives a set that it has met before only once.
                     if not len(s) or (node := digest(s)[0]) in met:
                         continue
                     met.add(node)
-                    keys.append(ordered(s, shared, rank)[: rule.lead(len(s))])
+                    s = ordered(s, shared, rank)
+                    below, lead = int(np.searchsorted(s, cut)), rule.lead(len(s))
+                    own = s[: max(below, lead)]
+                    heads.append((node, len(s), below))
+                    keys.append(own)
                     nodes.append(node)
                     sizes.append(len(s))
+                    kinds.append(np.where(np.arange(len(own)) < below, COUNT, LAST))
                 if len(met) > 500_000:
                     met.clear()
-                if keys:
+                if heads:
+                    head = np.array(heads, dtype=np.int64)
                     each = [len(k) for k in keys]
-                    arrays = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, dtype=np.int64), each), np.repeat(np.array(sizes, dtype=np.int32), each)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["shingle", "node", "n"])
-
-    return docs.select(text_col).mapInArrow(run, "shingle long, node long, n int")
+                    yield listed(np.full(len(head), HEAD), head[:, 0], head[:, 0], head[:, 1], head[:, 2])
+                    yield listed(np.concatenate(kinds), np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, dtype=np.int64), each), np.repeat(np.array(sizes), each), np.zeros(sum(each)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By kind, shingle, node: keeps what is counted of two sets or more, with the count; all other kinds pass."""
+        for rows in runs(batches, 1):
+            kind, shingle, node = rows[0], rows[1], rows[2]
+            new = np.ones(len(kind), dtype=bool)
+            new[1:] = (kind[1:] != kind[:-1]) | (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])
+            rows = [c[new] for c in rows]
+            start, size = bounds(rows[0], rows[1])
+            several = np.repeat(size > 1, size)
+            keep = (rows[0] != COUNT) | several
+            rows[4] = np.where(rows[0] == COUNT, np.repeat(size, size), rows[4])
+            yield listed(*(c[keep] for c in rows))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By node, kind, count, shingle: the deciding ones of each set."""
+        for rows in runs(batches, 2):
+            new = np.ones(len(rows[0]), dtype=bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in (rows[0], rows[1], rows[2])])
+            kind, shingle, node, n, aux = (c[new] for c in rows)
+            start, size = bounds(node)
+            at = np.arange(len(kind)) - np.repeat(start, size)
+            head = np.repeat(start, size)
+            counted = np.add.reduceat((kind == COUNT).astype(np.int64), start) if len(start) else np.zeros(0, dtype=np.int64)
+            last = np.add.reduceat((kind == LAST).astype(np.int64), start) if len(start) else np.zeros(0, dtype=np.int64)
+            lead = n[start] + (-rule.num * n[start]) // rule.den + 1
+            need = lead - (aux[start] - counted)
+            keep = (kind == LAST) | ((kind == COUNT) & (at - 1 - np.repeat(last, size) < np.repeat(need, size)))
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(node[keep]), pa.array(n[head][keep].astype(np.int32))], ["shingle", "node", "n"])
+
+    names = ["kind", "shingle", "node", "n", "aux"]
+
+    def listed(kind, shingle, node, n, aux) -> pa.RecordBatch:
+        types = [np.int32, np.int64, np.int64, np.int32, np.int32]
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(t)) for c, t in zip((kind, shingle, node, n, aux), types)], names)
+
+    def bounds(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of each run of equal keys."""
+        new = np.ones(len(keys[0]), dtype=bool)
+        if len(new):
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        start = np.flatnonzero(new)
+        return start, np.diff(np.append(start, len(new)))
+
+    def runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
+        """The rows in pieces that never part equal values of column by."""
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]
+            same = np.flatnonzero(rows[by] != rows[by][-1])
+            end = int(same[-1]) + 1 if len(same) else 0
+            if end or (held and held[-1][by][-1] != rows[by][0]):
+                whole = [np.concatenate([*(h[i] for h in held), rows[i][:end]]) for i in range(5)]
+                held = []
+                if len(whole[0]):
+                    yield whole
+            held.append([c[end:] for c in rows])
+        if held:
+            yield [np.concatenate([h[i] for h in held]) for i in range(5)]
+
+    kinds = "kind int, shingle long, node long, n int, aux int"
+    at_shingle = docs.select(text_col).mapInArrow(emit, kinds).repartition(partitions(docs.sparkSession), "shingle").sortWithinPartitions("kind", "shingle", "node")
+    at_node = at_shingle.mapInArrow(count, kinds).repartition(partitions(docs.sparkSession), "node").sortWithinPartitions("node", "kind", "aux", "shingle")
+    return at_node.mapInArrow(choose, "shingle long, node long, n int")
 
 
 def _chains(lists: DataFrame, rule: Rule) -> DataFrame:
