@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
@@ -95,3 +96,35 @@ def most_frequent(counts: DataFrame, n_col: str, at_most: int) -> DataFrame:
             break
         least = s
     return counts.where(F.lit(False)) if least is None else counts.where((F.col(n_col) > 0) & (step >= least))
+
+
+def bloom(ids: DataFrame, id_col: str, most_bits: int = 1 << 27):
+    """A test on an id column that holds for every id of ids, and for about one in a hundred others.
+
+    The filter is gathered as 64-bit words, has ten bits an id and never more than most_bits (16 MB); above about
+    13 million ids it lets more through, and never less.  A caller joins what passes exactly.
+    """
+    spark, hashes = ids.sparkSession, 4
+    bits = min(most_bits, max(64, 1 << (10 * ids.count()).bit_length()))
+    place = lambda c, i: F.pmod(F.xxhash64(c.cast("string"), F.lit(i)), F.lit(bits))
+    at = ids.select(F.explode(F.array(*(place(F.col(id_col), i) for i in range(hashes)))).alias("p"))
+    got = at.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    held = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def has(p0: pd.Series, p1: pd.Series, p2: pd.Series, p3: pd.Series) -> pd.Series:
+        found = np.ones(len(p0), dtype=bool)
+        for p in (x.to_numpy() for x in (p0, p1, p2, p3)):
+            found &= (held.value[p // 64] >> (p % 64)) & 1 == 1
+        return pd.Series(found)
+
+    return lambda c: has(*(place(c, i) for i in range(hashes)))
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame, gone_col: str) -> DataFrame:
+    """docs without the ids of gone.  Only rows that a filter of those ids lets through are joined; other texts stay where they are."""
+    maybe = bloom(gone, gone_col)
+    rest = docs.where(maybe(docs[id_col])).join(gone, docs[id_col].eqNullSafe(gone[gone_col]), "left_anti")
+    return docs.where(~maybe(docs[id_col])).unionByName(rest)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, written
 
+#: Ids up to this number are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 KEY = ["_sha", "_bytes", "_check"]
 
 
@@ -70,5 +72,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """docs without the rows that exact_dedup does not keep, all columns as they were; ids are taken to be unique."""
-    gone = exact_dedup(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = written(exact_dedup(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("_gone")), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, partitions, slices, words, written
+from .common import bloom, most_frequent, partitions, slices, without, words, written
 from .components import components
 
 TOP = np.uint64(1) << np.uint64(63)
@@ -107,36 +107,37 @@ def ordered(s: np.ndarray, shared: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 class _Node:
-    __slots__ = ("part", "below", "low", "high", "ends", "sole")
+    __slots__ = ("part", "above", "below", "low", "high", "ends", "sole")
 
-    def __init__(self, part: np.ndarray, low: int, high: int, sole: int):
-        self.part, self.below, self.low, self.high, self.ends, self.sole = part, {}, low, high, [], sole
+    def __init__(self, part: np.ndarray, above: _Node | None, low: int, high: int, sole: int):
+        self.part, self.above, self.below, self.low, self.high, self.ends, self.sole = part, above, {}, low, high, [], sole
 
 
 class LinkTree:
-    """Sets are added one by one, by ascending size; add() links each with those before it that are alike."""
+    """Sets come one by one, by ascending size: begin(), then probe() with sets before it that can be alike, then insert()."""
 
-    def __init__(self, rule: Rule, apart: int | None = None):
-        self.rule, self.root, self.parent, self.sizes = rule, _Node(np.zeros(0, dtype=np.uint64), 1 << 60, 0, -1), [], []
+    def __init__(self, rule: Rule):
+        self.rule, self.root, self.parent, self.leaves = rule, _Node(np.zeros(0, dtype=np.uint64), None, 1 << 60, 0, -1), [], []
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
             self.parent[i] = i = self.parent[self.parent[i]]
         return i
 
-    def add(self, s: np.ndarray) -> int:
-        own = len(self.parent)
-        self.parent.append(own)
-        self.sizes.append(len(s))
-        path = (~s)[::-1]  # ascending again, most shared shingles first
-        if own:
-            self._probe(path, own)
-        self._insert(path, own)
-        return own
-
-    def _probe(self, path: np.ndarray, own: int) -> None:
+    def begin(self) -> int:
+        self.parent.append(len(self.parent))
+        return len(self.parent) - 1
+
+    def probe(self, path: np.ndarray, own: int, candidates: list[int]) -> None:
+        """Link own with those candidates that are alike; the walk takes only the paths to them."""
         rule, n = self.rule, len(path)
         total = rule.num + rule.den
+        marked: set[_Node] = set()
+        for other in candidates:
+            node = self.leaves[other]
+            while node is not None and node not in marked:
+                marked.add(node)
+                node = node.above
         todo = [(self.root, 0, 0)]
         while todo:
             node, depth, shared = todo.pop()
@@ -154,9 +155,9 @@ class LinkTree:
             if node.ends and rule.linked(shared, n, depth):
                 for other in node.ends:
                     self.parent[self.find(other)] = self.find(own)
-            todo.extend((x, depth, shared) for x in node.below.values())
+            todo.extend((x, depth, shared) for x in node.below.values() if x in marked)
 
-    def _insert(self, path: np.ndarray, own: int) -> None:
+    def insert(self, path: np.ndarray, own: int) -> None:
         node, n, at = self.root, len(path), 0
         while True:
             node.low, node.high = min(node.low, n), max(node.high, n)
@@ -165,34 +166,63 @@ class LinkTree:
             elif node.sole >= 0 and self.find(node.sole) != self.find(own):
                 node.sole = -1
             if at == n:
-                node.ends.append(own)
-                return
+                break
             child = node.below.get(int(path[at]))
             if child is None:
-                node.below[int(path[at])] = leaf = _Node(path[at:], n, n, own)
-                leaf.ends.append(own)
-                return
+                child = node.below[int(path[at])] = _Node(path[at:], node, n, n, own)
+                node = child
+                break
             m = min(len(child.part), n - at)
             differ = np.flatnonzero(child.part[:m] != path[at : at + m])
             same = int(differ[0]) if len(differ) else m
             if same < len(child.part):
-                upper = _Node(child.part[:same], child.low, child.high, child.sole)
-                child.part = child.part[same:]
+                upper = _Node(child.part[:same], node, child.low, child.high, child.sole)
+                child.part, child.above = child.part[same:], upper
                 upper.below[int(child.part[0])] = child
                 node.below[int(path[at])] = child = upper
             node, at = child, at + same
+        node.ends.append(own)
+        self.leaves.append(node)
 
 
 def link_sets(sets: list[np.ndarray], rule: Rule) -> list[int]:
-    """For each set the index of the first set (by size, then as given) of its component."""
+    """For each set the index of the first set (by size, then as given) of its component.
+
+    Within the group the deciding shingles are taken by the group's own counts, rarest first; a set's candidates are
+    the sets before it that share one of them and are not linked with it yet.  The latest set of a list is tried
+    first: in a group of near copies one link tells all others.
+    """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum([len(s) for s in sets])
+    lists: dict[int, list[int]] = {}
+    sole: dict[int, int] = {}  # a member of the list, as long as all are linked, else -1
     tree = LinkTree(rule)
-    for i in order:
-        tree.add(sets[i])
+    find = tree.find
+    for pos, i in enumerate(order):
+        s = sets[i]
+        own = at[ends[i] - len(s) : ends[i]]
+        lead = own[np.lexsort((own, count[own]))[: rule.lead(len(s))]]
+        decide = lead[count[lead] > 1].tolist()
+        own, path = tree.begin(), (~s)[::-1]  # ascending again, most shared shingles first
+        met = [k for k in decide if k in lists]
+        if met:
+            tree.probe(path, own, [lists[met[0]][-1]])
+        todo = set()
+        for k in met:
+            if sole[k] < 0 or find(sole[k]) != find(own):
+                todo.update(other for other in lists[k] if find(other) != find(own))
+        if todo:
+            tree.probe(path, own, list(todo))
+        tree.insert(path, own)
+        for k in decide:
+            lists.setdefault(k, []).append(pos)
+            if sole.setdefault(k, pos) >= 0 and find(sole[k]) != find(own):
+                sole[k] = -1
     first: dict[int, int] = {}
     out = [0] * len(sets)
     for pos, i in enumerate(order):
-        out[i] = first.setdefault(tree.find(pos), i)
+        out[i] = first.setdefault(find(pos), i)
     return out
 
 
@@ -395,7 +425,7 @@ def _linked(members: DataFrame, rule: Rule, order) -> DataFrame:
     return dealt.mapInArrow(run, "a struct<d1: bigint, d2: bigint>, b struct<d1: bigint, d2: bigint>")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), group_limit: int = 8_000_000, shared_limit: int = 1 << 17) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), group_limit: int = 4_000_000, shared_limit: int = 1 << 17) -> DataFrame:
     """id_col, n_shingles, component_id (the smallest id that links reach) for every row of docs."""
     spark = docs.sparkSession
     base = written(_sets_and_counts(docs, id_col, text_col, rule), "sets")
@@ -416,6 +446,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = found.withColumn("lo", F.least("_own", "_other")).withColumn("hi", F.greatest("_own", "_other"))
     found = written(found.select("root", "lo", "hi", "d1", "d2", F.col("id").alias("_id")), "members")
     texts = docs.select(F.col(id_col).alias("_did"), F.col(text_col).alias("text"))
+    texts = texts.where(bloom(found, "_id")(F.col("_did")))
     members = texts.join(found, F.col("_did").eqNullSafe(F.col("_id"))).drop("_id", "_did")
     if id_col_repeats(sets):
         members = _own_texts(members, rule)
@@ -454,4 +485,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with one document of each component, the one of the smallest id; ids are taken to be unique."""
     found = jaccard_components(docs, id_col, text_col, rule)
     gone = written(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    return without(docs, id_col, gone, "_gone")
