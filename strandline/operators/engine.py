@@ -53,7 +53,7 @@ class Binding:
 @dataclass
 class Partition:
     ring: list = field(default_factory=list)  # (time, number of arrival, event)
-    pending: list = field(default_factory=list)
+    pending: int = 0  # anchors that wait
     seen: set = field(default_factory=set)
     causes: dict = field(default_factory=dict)
     problems: list = field(default_factory=list)
@@ -72,6 +72,8 @@ class Engine:
         self.late: list[dict] = []
         self.absent: list[tuple] = []  # windows that were decided absent: scope, event type, from, to, rule
         self.sources: dict[tuple, list[int]] = {}
+        self.waiting: list[tuple] = []  # (upper, scope, rule name, event id, rule, event), in the order in which they resume
+        self.swept = LEAST
         self.arrived = self.left = 0
         self.pairs = exclusive_pairs(rules, catalog)
 
@@ -115,9 +117,8 @@ class Engine:
 
     def finish(self) -> None:
         """All that waits is decided; a second call changes nothing."""
-        waits = [w[0] for p in self.parts.values() for w in p.pending]
-        if self.watermark is not None and waits:
-            self.advance(max(self.watermark + self.rules.forward, *waits) + 1)
+        if self.watermark is not None and self.waiting:
+            self.advance(max(self.watermark + self.rules.forward, self.waiting[-1][0]) + 1)
 
     def part(self, scope: tuple) -> Partition:
         return self.parts.setdefault(scope, Partition())
@@ -137,21 +138,28 @@ class Engine:
         if upper <= self.watermark:
             self._run(rule, scope, Binding("event", node=event))
             return
-        pending = self.part(scope).pending
-        insort(pending, (upper, rule.name, event["event_id"], rule, event), key=lambda x: x[:3])
-        if len(pending) > self.limits.pending:
-            pending.pop()
+        p = self.part(scope)
+        insort(self.waiting, (upper, scope, rule.name, event["event_id"], rule, event), key=lambda x: x[:4])
+        p.pending += 1
+        if p.pending > self.limits.pending:
+            last = next(i for i in reversed(range(len(self.waiting))) if self.waiting[i][1] == scope)
+            del self.waiting[last]
+            p.pending -= 1
             self.diagnostics.append(("ADGL3005", f"{scope}: an anchor that waits longest was dropped"))
 
     def _resume(self) -> None:
-        ready = sorted(((w[0], scope, w[1], w[2], w) for scope, p in self.parts.items() for w in p.pending if w[0] < self.watermark), key=lambda x: x[:4])
-        for p in self.parts.values():
-            p.pending = [w for w in p.pending if w[0] >= self.watermark]
-        for _, scope, _, _, (_, _, _, rule, event) in ready:
+        n = bisect_left(self.waiting, self.watermark, key=lambda x: x[0])
+        ready, self.waiting = self.waiting[:n], self.waiting[n:]
+        for _, scope, _, _, rule, event in ready:
+            self.part(scope).pending -= 1
             self.left = self.limits.firings
             self._run(rule, scope, Binding("event", node=event))
 
     def _forget(self) -> None:
+        """State that no window reaches any more goes, in one sweep for every quarter of the lookback."""
+        if self.watermark < self.swept + self.limits.max_lookback // 4:
+            return
+        self.swept = self.watermark
         oldest = self.watermark - self.limits.max_lookback
         window = oldest // self.limits.dedup_window
         for p in self.parts.values():

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,6 +109,11 @@ class Decoder:
 
     def _get(self, prefix: str):
         def get(name: str) -> int:
+            own = prefix + name
+            if own in self.locals:
+                return self.locals[own]
+            if own in self.fields:
+                return self.fields[own]
             if name == "__current_offset":
                 return self.at
             if name in ("__count", "__rem") and not self.compat:
@@ -249,25 +255,40 @@ class Decoder:
 def decode_column(df: DataFrame, buffer: str, protocol: Protocol, compat: bool = False, layers: bool = False) -> DataFrame:
     """df with fields (map of decimals), emitted (array of name and value), consumed and error, decoded over Arrow batches."""
     number = pa.decimal128(20, 0)
-    added = [("fields", pa.map_(pa.string(), number)), ("emitted", pa.list_(pa.struct([("name", pa.string()), ("value", number)]))), ("consumed", pa.int64()), ("error", pa.string())]
+    added = ["fields", "emitted", "consumed", "error"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from decimal import Decimal
+    def numbers(values: list[int]) -> pa.Array:
+        return pa.array(np.array(values, dtype=np.uint64)).cast(number)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(protocol, compat)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            keys, values, ends = [], [], [0]
+            names, read, stops = [], [], [0]
+            consumed, errors = [], []
             for data in batch.column(buffer).to_pylist():
                 try:
                     got = decoder.decode(data or b"")
                     fields = decoder.layers(data or b"") if layers else got.fields
-                    row = ([(k, Decimal(v)) for k, v in fields.items()], [{"name": k, "value": Decimal(v)} for k, v in got.emitted], got.consumed, got.error)
+                    keys.extend(fields)
+                    values.extend(fields.values())
+                    for name, value in got.emitted:
+                        names.append(name)
+                        read.append(value)
+                    consumed.append(got.consumed)
+                    errors.append(got.error)
                 except NeedMore:
-                    row = ([], [], 0, "more bytes are needed")
-                for column, value in zip(out, row):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, (_, t) in zip(out, added))], [*batch.schema.names, *(n for n, _ in added)])
-
+                    consumed.append(0)
+                    errors.append("more bytes are needed")
+                ends.append(len(keys))
+                stops.append(len(names))
+            found = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), numbers(values))
+            order = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), numbers(read)], ["name", "value"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found, order, pa.array(consumed, pa.int64()), pa.array(errors, pa.string())], [*batch.schema.names, *added])
+
+    # A table of few large files would be decoded by as few tasks.
+    wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df if df.isStreaming or df.rdd.getNumPartitions() >= wide else df.repartition(wide)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{names}, fields map<string,decimal(20,0)>, emitted array<struct<name:string,value:decimal(20,0)>>, consumed long, error string")
 
