@@ -10,7 +10,9 @@ carrying the overlap of the path that sets have in common, and leaves a subtree
 sides cannot reach the overlap needed by the smallest set below, or when all sets below are linked to it already.
 
 Equal sets are one node, so copies cost nothing after the first pass.  A group above `group_limit` shingles is dealt
-into blocks, and every two blocks are joined on their own, so memory stays bounded and no link is lost.
+into blocks, each joined on its own; then representatives of what is linked are joined, and at last the sets outside the
+group's largest component with all its blocks.  So memory stays bounded, no link is lost, and a group of near copies
+costs as its size.
 
 The order uses counts over all documents; the list of shared shingles that is broadcast holds at most `shared_limit`,
 the most frequent ones; that bound changes only the order, never the result.
@@ -439,18 +441,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # One document stands for each set.  Ids are nullable, so the choice is by the least struct.
     nodes = written(sets.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
     found = written(nodes.join(groups.select(F.col("node").alias("d1"), "root"), "d1"), "groups")
-    blocks = found.groupBy("root").agg(F.sum("n").alias("_total"), F.count("*").alias("_sets"))
-    blocks = written(blocks.where("_sets > 1").select("root", F.ceil(F.col("_total") / group_limit).cast("int").alias("_blocks")), "blocks")
-    found = found.join(blocks, "root").withColumn("_own", F.pmod(F.xxhash64("d1", "d2"), F.col("_blocks")).cast("int"))
-    found = found.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    found = found.withColumn("lo", F.least("_own", "_other")).withColumn("hi", F.greatest("_own", "_other"))
-    found = written(found.select("root", "lo", "hi", "d1", "d2", F.col("id").alias("_id")), "members")
+    groups = found.groupBy("root").agg(F.sum("n").alias("_total"), F.count("*").alias("_sets"))
+    groups = written(groups.where("_sets > 1").select("root", F.ceil(F.col("_total") / group_limit).cast("int").alias("blocks")), "blocks")
+    own = F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int")
+    found = written(found.join(groups, "root").withColumn("own", own).withColumnRenamed("id", "_id"), "members")
     texts = docs.select(F.col(id_col).alias("_did"), F.col(text_col).alias("text"))
     texts = texts.where(bloom(found, "_id")(F.col("_did")))
-    members = texts.join(found, F.col("_did").eqNullSafe(F.col("_id"))).drop("_id", "_did")
-    if id_col_repeats(sets):
-        members = _own_texts(members, rule)
-    links = components(_linked(members, rule, order))
+    repeated = id_col_repeats(sets)
+
+    def joined(rows: DataFrame) -> DataFrame:
+        """Links inside each (root, lo, hi)."""
+        members = texts.join(rows.select("root", "lo", "hi", "d1", "d2", "_id"), F.col("_did").eqNullSafe(F.col("_id"))).drop("_id", "_did")
+        return written(_linked(_own_texts(members, rule) if repeated else members, rule, order), "links")
+
+    links = joined(found.withColumn("lo", F.col("own")).withColumn("hi", F.col("own")))
+    large = found.where("blocks > 1")
+    if large.limit(1).count():
+        links = _across(large, links, joined, group_limit)
+    links = components(links)
 
     mark = F.struct("d1", "d2")
     named = nodes.withColumn("mark", mark).join(links, F.col("mark") == F.col("node"), "left").withColumn("root", F.coalesce("root", "mark"))
@@ -463,6 +471,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return both.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _across(large: DataFrame, links: DataFrame, joined, group_limit: int) -> DataFrame:
+    """Links between the blocks of large groups, beside those inside blocks (links).
+
+    Representatives of what is linked inside blocks are joined first; in a group of near copies that leaves one
+    component.  Then only sets outside the largest component of their group are still to be met, by all blocks of it.
+    """
+    mark = F.struct("d1", "d2")
+
+    def placed(links: DataFrame) -> DataFrame:
+        """large with comp, the component of each set as far as it is known."""
+        known = components(links).select(F.col("node").alias("_node"), F.col("root").alias("_comp"))
+        return written(large.join(known, F.struct("d1", "d2") == F.col("_node"), "left").withColumn("comp", F.coalesce("_comp", mark)).drop("_node", "_comp"), "placed")
+
+    heads = placed(links).where(F.col("comp") == mark)
+    heads = heads.withColumn("lo", F.lit(-1)).withColumn("hi", F.pmod(F.xxhash64("d2", "d1"), F.col("blocks")).cast("int"))
+    # Only heads of several sets, as single ones are met below in any case.
+    several = written(links.select(F.col("a.d1").alias("d1"), F.col("a.d2").alias("d2")).unionByName(links.select("b.d1", "b.d2")).distinct(), "several")
+    heads = heads.join(several, ["d1", "d2"], "left_semi")
+    weight = heads.groupBy("root").agg(F.sum("n").alias("_w"))
+    heads = heads.join(weight, "root").withColumn("hi", F.when(F.col("_w") <= group_limit, F.lit(-1)).otherwise(F.col("hi"))).drop("_w")
+    links = written(links.unionByName(joined(heads)), "links")
+
+    now = placed(links)
+    sizes = now.groupBy("root", "comp").agg(F.count("*").alias("_sets"))
+    main = written(sizes.groupBy("root").agg(F.max_by("comp", F.struct("_sets", "comp")).alias("_main")), "main")
+    outside = written(now.join(main, "root").where(F.col("comp") != F.col("_main")).drop("_main"), "outside")
+    rest = written(outside.groupBy("root").agg(F.ceil(F.sum("n") / group_limit).cast("int").alias("_parts")), "rest")
+    part = F.pmod(F.xxhash64("d1", "d2"), F.col("_parts")).cast("int")
+    asked = outside.join(rest, "root").withColumn("lo", part).withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    there = now.join(rest, "root").withColumn("hi", F.col("own")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    both = asked.select("root", "lo", "hi", "d1", "d2", "_id").unionByName(there.select("root", "lo", "hi", "d1", "d2", "_id")).distinct()
+    return links.unionByName(joined(both))
+
+
 def id_col_repeats(sets: DataFrame) -> bool:
     """Whether an id stands at more than one set, so that an id alone does not name a text."""
     return bool(sets.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").limit(1).count())

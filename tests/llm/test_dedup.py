@@ -63,7 +63,7 @@ def brute_components(rows, k, num, den):
     return sorted((i, len(x), least[find(a)]) for a, (i, x) in enumerate(sets))
 
 
-@pytest.mark.parametrize("rule,limit,shared", [((3, 90, 100), 8_000_000, 1 << 17), ((5, 80, 100), 8_000_000, 1 << 17), ((3, 90, 100), 300, 1 << 17), ((2, 50, 100), 8_000_000, 0)])
+@pytest.mark.parametrize("rule,limit,shared", [((3, 90, 100), 8_000_000, 1 << 17), ((5, 80, 100), 8_000_000, 1 << 17), ((3, 90, 100), 300, 1 << 17), ((3, 90, 100), 3000, 1 << 17), ((5, 80, 100), 100, 0), ((2, 50, 100), 8_000_000, 0)])
 def test_components_equal_brute_force(spark, rule, limit, shared):
     rows = corpus()
     got = shingle_join.jaccard_components(table(spark, rows), rule=shingle_join.Rule(*rule), group_limit=limit, shared_limit=shared)
