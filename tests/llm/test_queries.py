@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -40,7 +41,7 @@ def test_query_equals_sql(spark, name):
     cols = sorted(got.columns)
     want = db.sql(registry.oracle_sql()[name]).df()
     assert sorted(want.columns) == cols
-    text = lambda row: tuple("" if x is None or x != x else str(int(x)) if isinstance(x, (int, float)) or hasattr(x, "item") else str(x) for x in row)
+    text = lambda row: tuple("" if pd.isna(x) else str(int(x)) if isinstance(x, (int, float)) or hasattr(x, "item") else str(x) for x in row)
     assert sorted(text(r[c] for c in cols) for r in got.collect()) == sorted(map(text, want[cols].itertuples(index=False)))
 
 
