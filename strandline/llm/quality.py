@@ -83,7 +83,8 @@ class Ranker:
         return np.concatenate([z, hinges], axis=1)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.expand(x) @ self.weights if len(x) else np.zeros(0)
+        """Summed row by row: a matrix product would round by the rows around, and a text at the cut could fall on either side."""
+        return (self.expand(x) * self.weights).sum(axis=1) if len(x) else np.zeros(0)
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, ridge: float = 5.0, seed: int = 7) -> Ranker:

@@ -49,6 +49,27 @@ def test_pairs_order_documents():
     assert (raw[y == 1][:, None] > raw[y == 0][None, :]).mean() > 0.97
 
 
+def test_score_does_not_depend_on_the_rows_around():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, quality.FEATURES))
+    made = quality.fit_pairs(x, (x[:, 2] > 0).astype(int))
+    whole = made.raw(x)
+    for size in (1, 3, 64, 333):
+        assert np.array_equal(np.concatenate([made.raw(x[i : i + size]) for i in range(0, len(x), size)]), whole)
+
+
+def test_text_at_the_cut_is_kept_and_predicted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model, scored = quality.fit_quality(docs, labels)
+    at_cut = [r[0] for r in scored.where(F.col("_raw") == model.cut).select("doc_id").collect()]
+    assert at_cut
+    kept = {r[0] for r in quality.keep_quality(docs.repartition(7), labels).select("doc_id").collect()}
+    predicted = {r[0] for r in quality.score_quality(docs, labels).where("predicted = 1").select("doc_id").collect()}
+    assert set(at_cut) <= kept and kept == predicted
+
+
+
 @pytest.mark.parametrize("repeat", [False, True])
 def test_fingerprints_of_edits(spark, repeat):
     rows = [(i, t) for i, t in corpus(60) if i != 9] + ([(20, "the same"), (20, "the same")] if repeat else [])
