@@ -1,9 +1,10 @@
 """LM scoring by Brown class-based bigrams.
 
 Exchange clustering assigns words to classes: a word moves to the class that raises the likelihood of the class bigrams
-most, until no move helps.  The `head` most frequent words are exchanged with one another; the words after them, up to
-`placed`, are each exchanged once against the classes of the head, from their neighbours in all training text; all
-further words, and the unknown one, form the class of rare words.  A text's probability is the product of smoothed
+most, until no move helps.  The `head` most frequent words are exchanged with one another on the driver; then all other words
+of at least `least` occurrences are exchanged at once, by the classes of their neighbours in all training text, sweep after
+sweep until at most one in 200 moves or `sweeps` are done.  Only words below `least`, and the unknown one, form the class of
+rare words (with `placed`, also those after the `placed` most frequent).  A text's probability is the product of smoothed
 class transitions and of the words' emission probabilities in their classes:
 
     P(w | c') = (n(c', c) + s * p(c)) / (n(c') + s) * e(w | c),   c the class of w
@@ -11,9 +12,12 @@ class transitions and of the words' emission probabilities in their classes:
 with e(w | c) = n(w) / n(c), and (n(w) + 1) / (n(rare) + V(rare) + 1) for rare words.  The end of a text is a class and
 a token of its own; a text starts after an end.
 
-Counts cover all training text.  The driver holds what is bounded by parameters: at most `listed` of the most frequent words, at
-most (head + 1)**2 pair counts, at most 2 * placed * (classes + 2) neighbour counts, (classes + 2)**2 transitions.  Every other
-word meets its count in a join on the word; such a word is never frequent, so the join is not skewed, and
+Counts cover all training text.  A word with a class is known everywhere by a 64-bit hash; two words of one hash share a class.
+The driver, and a broadcast, hold 9 bytes for each such word, however many there are (the driver 25 while it learns).  Beside them
+the driver holds what is bounded by parameters: at most `listed` of the most frequent words with their counts, at
+most (head + 1)**2 pair counts, (classes + 2)**2 transitions.  Training text is coded once; the neighbours of the words outside
+the head are dealt once into blocks of words, and a sweep reads the blocks without a shuffle.  Every word that is not
+listed meets its count in a join on the word; such a word is never frequent, so the join is not skewed, and
 each text sends it once.
 
 Tokens are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end.  Defined cases: null and empty texts are an end alone;
@@ -30,13 +34,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digests, held_out, most_frequent, slices, words, written
+from .common import digests, held_out, most_frequent, partitions, slices, words, written
 
 #: The end of a text in tables of words; no word has a blank.
 STOP = b" "
+#: Most words of a block of neighbours, entries in a block on average, and entries that a task holds before it sends them.
+SPAN, ENTRIES, HELD = 4096, 250_000, 1_000_000
 
 
 def word_table(training: DataFrame, text_col: str) -> DataFrame:
@@ -136,6 +143,27 @@ def place(left: np.ndarray, right: np.ndarray, grid: np.ndarray, classes: int) -
 # --- the model ---------------------------------------------------------------------------------------------
 
 
+def hashes(found: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+
+
+class Codes:
+    """Codes of tokens: 0 words without a class, 1 the end, then the position of the hash among the sorted keys."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.known = keys, {STOP: 1}
+
+    def __call__(self, tokens: list[bytes]) -> np.ndarray:
+        if len(self.known) > 200_000:
+            self.known = {STOP: 1}
+        fresh = list(set(tokens).difference(self.known))
+        if fresh and len(self.keys):
+            h = hashes(fresh)
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            self.known.update(zip(fresh, np.where(self.keys[at] == h, at + 2, 0).tolist()))
+        return np.array([self.known.get(w, 0) for w in tokens], dtype=np.int64)
+
+
 @dataclass(frozen=True)
 class ClassModel:
     """classes + 2 classes: the last two are rare words and the end."""
@@ -143,6 +171,8 @@ class ClassModel:
     total: int  # training tokens
     distinct: int
     listed: dict[bytes, tuple[int, int]]  # word -> class, count
+    keys: np.ndarray  # sorted hashes of all words with a class
+    kinds: np.ndarray  # class by code
     jump: np.ndarray  # log10 of transitions
     of_class: np.ndarray  # log10 of the emission's denominator
     rare: int
@@ -152,66 +182,143 @@ class ClassModel:
         return math.log10(self.total + self.distinct + 1)
 
 
-def _classes_of(texts: list[str | None], ids: dict[bytes, int], other: int, stop: int) -> np.ndarray:
-    """Codes of the tokens of all texts, one after another with an end before and after each."""
-    out = [stop]
-    get = ids.get
-    for text in texts:
-        out.extend([get(w, other) for w in words(text)])
-        out.append(stop)
-    return np.array(out, dtype=np.int64)
+def _coded(training: DataFrame, text_col: str, keys: np.ndarray) -> DataFrame:
+    """Codes of the tokens of all training text as a table, a row for many texts, with an end before and after each text."""
+    held = training.sparkSession.sparkContext.broadcast(keys)
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(held.value)
+        for batch in batches:
+            for part in slices(batch, text_col, 1 << 20):
+                tokens = [STOP]
+                for text in part.column(text_col).to_pylist():
+                    tokens.extend(words(text))
+                    tokens.append(STOP)
+                yield pa.RecordBatch.from_arrays([pa.array([codes(tokens).astype("<i4").tobytes()], pa.binary())], ["x"])
 
-def _pair_counts(training: DataFrame, text_col: str, ids: dict[bytes, int], size: int, lookup: np.ndarray | None = None) -> np.ndarray:
-    """size x size counts of adjacent codes over all training text; unknown words have code 0, the end code 1.
+    return written(training.select(text_col).mapInArrow(code, "x binary"), "codes")
 
-    lookup: codes to what is counted (classes), else the codes are.
-    """
-    held = training.sparkSession.sparkContext.broadcast((ids, lookup))
+
+def _pair_counts(coded: DataFrame, size: int, lookup: np.ndarray) -> np.ndarray:
+    """size x size counts of what lookup gives for adjacent codes, over all training text."""
+    held = coded.sparkSession.sparkContext.broadcast(lookup)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lookup = held.value
+        lookup = held.value
         sums = np.zeros(size * size, dtype=np.int64)
         for batch in batches:
-            for part in slices(batch, text_col):
-                x = _classes_of(part.column(text_col).to_pylist(), ids, 0, 1)
-                x = x if lookup is None else lookup[x]
+            for x in batch.column("x"):
+                x = lookup[np.frombuffer(x.as_buffer(), "<i4")].astype(np.int64)
                 sums += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["cell", "n"])
 
-    cells = training.select(text_col).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = coded.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    held.unpersist()
     grid = np.zeros(size * size, dtype=np.int64)
     grid[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     return grid.reshape(size, size)
 
 
-def _neighbours(training: DataFrame, text_col: str, ids: dict[bytes, int], lookup: np.ndarray, first: int, last: int, kinds: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the codes first .. last - 1: counts by class of the token before, and of the token after."""
-    held = training.sparkSession.sparkContext.broadcast((ids, lookup))
-    width = (last - first) * kinds
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with their sums."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[at], np.add.reduceat(n, at) if len(at) else n
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lookup = held.value
-        sums = np.zeros(2 * width, dtype=np.int32)
+
+def _neighbours(coded: DataFrame, far: np.ndarray, span: int) -> DataFrame:
+    """block, data for blocks of span codes: the neighbours of the codes that are far, one row a block.
+
+    data: three rows of 32-bit numbers: code within the block, twice the neighbour's code (plus 1 where it comes after), count.
+    """
+    held = coded.sparkSession.sparkContext.broadcast(far)
+
+    def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        block = (key >> 32) // span
+        at = np.flatnonzero(np.diff(block, prepend=-1))
+        data = np.empty((3, len(key)), dtype="<u4")
+        data[0], data[1], data[2] = (key >> 32) % span, key & 0xFFFFFFFF, n
+        return pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array([data[:, i:j].tobytes() for i, j in zip(at, [*at[1:], len(key)])], pa.binary())], ["block", "data"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, parts, size = held.value, [], 0
         for batch in batches:
-            for part in slices(batch, text_col):
-                x = _classes_of(part.column(text_col).to_pylist(), ids, 0, 1)
-                c = lookup[x]
-                here = np.flatnonzero((x >= first) & (x < last))
-                cell = (x[here] - first) * kinds
-                sums += np.bincount(np.concatenate([cell + c[here - 1], width + cell + c[here + 1]]), minlength=2 * width).astype(np.int32)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at].astype(np.int64))], ["cell", "n"])
+            for x in batch.column("x"):
+                x = np.frombuffer(x.as_buffer(), "<i4").astype(np.int64)
+                here = np.flatnonzero(far[x])
+                word = x[here] << 32
+                parts += [word | x[here - 1] << 1, word | x[here + 1] << 1 | 1]
+                size += 2 * len(here)
+                if size > HELD:
+                    yield rows(*np.unique(np.concatenate(parts), return_counts=True))
+                    parts, size = [], 0
+        if size:
+            yield rows(*np.unique(np.concatenate(parts), return_counts=True))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
+
+        def whole() -> pa.RecordBatch:
+            word, near, n = np.concatenate(parts, axis=1).astype(np.int64)
+            return rows(*_summed((word + block * span) << 32 | near, n))
+
+        for batch in batches:
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                if b != block:
+                    if parts:
+                        yield whole()
+                    block, parts = b, []
+                parts.append(np.frombuffer(data.as_buffer(), "<u4").reshape(3, -1))
+        if parts:
+            yield whole()
+
+    dealt = coded.mapInArrow(gather, "block long, data binary").repartition(partitions(coded.sparkSession), "block")
+    return written(dealt.sortWithinPartitions("block").mapInArrow(merge, "block long, data binary"), "neighbours")
 
-    cells = training.select(text_col).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    both = np.zeros(2 * width)
-    both[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    return both[:width].reshape(-1, kinds), both[width:].reshape(-1, kinds)
 
+def _sweep(blocks: DataFrame, span: int, kinds: np.ndarray, grid: np.ndarray, classes: int) -> np.ndarray:
+    """One exchange step of all words of the blocks at once; other words get what they had."""
+    held = blocks.sparkSession.sparkContext.broadcast((kinds, grid))
+    size = len(grid)
 
-def fit_classes(training: DataFrame, text_col: str = "text", classes: int = 64, head: int = 1024, placed: int = 12_288, listed: int = 1 << 18, smoothing: float = 20.0) -> tuple[ClassModel, DataFrame]:
-    """The model, and the table of all training words with their counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, grid = held.value
+        for batch in batches:
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                word, near, n = np.frombuffer(data.as_buffer(), "<u4").reshape(3, -1).astype(np.int64)
+                cell = (word * 2 + (near & 1)) * size + kinds[near >> 1]
+                sides = np.bincount(cell, weights=n, minlength=2 * span * size).reshape(span, 2, size)
+                own = kinds[b * span : (b + 1) * span].copy()
+                at = np.unique(word)
+                own[at] = place(sides[at, 0], sides[at, 1], grid, classes)
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([own.tobytes()], pa.binary())], ["block", "data"])
+
+    found = kinds.copy()
+    got = blocks.mapInArrow(run, "block long, data binary").toArrow()
+    held.unpersist()
+    for b, data in zip(got.column("block").to_pylist(), got.column("data").to_pylist()):
+        found[b * span : (b + 1) * span] = np.frombuffer(data, kinds.dtype)
+    return found
+
+
+def _keys(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of a table of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(batch.column("word").to_pylist()).view(np.int64)), batch.column("n")], ["h", "n"])
+
+    got = found.select("word", "n").mapInArrow(run, "h long, n long").toArrow()
+    return got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+
+
+def fit_classes(training: DataFrame, text_col: str = "text", classes: int = 64, head: int = 1024, placed: int | None = None, listed: int = 1 << 18, smoothing: float = 20.0, least: int = 2, sweeps: int = 12) -> tuple[ClassModel, DataFrame]:
+    """The model, and the table of all training words with their counts.
+
+    placed: None, or the most words that get a class, whatever their counts.
+    """
     counts = word_table(training, text_col)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     real = counts.where(F.col("word") != F.lit(STOP))
@@ -219,39 +326,58 @@ def fit_classes(training: DataFrame, text_col: str = "text", classes: int = 64,
     top = sorted(zip(top.column("n").to_pylist(), top.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
     names = [bytes(w) for _, w in top]
     n = np.array([c for c, _ in top], dtype=np.int64)
-    m, reach = min(head, len(names)), min(placed, len(names))
-    rare, stop, kinds = classes, classes + 1, classes + 2
-
-    # Codes: 0 all other words, 1 the end, then the words by frequency.
-    ids = {w: i + 2 for i, w in enumerate(names[:reach])}
-    heads = dict(list(ids.items())[:m])
+    rare, stop, size = classes, classes + 1, classes + 2
+
+    if placed is None:
+        m = min(head, int((n >= least).sum()))
+        keys, each = _keys(real.where(F.col("n") >= least))
+    else:
+        m = min(head, placed, len(names))
+        keys, each = hashes(names[:placed]), n[:placed]
+    reach = len(keys)
+    order = np.argsort(keys, kind="stable")
+    keys, at = np.unique(keys[order], return_index=True)
+    each = np.add.reduceat(each[order], at) if reach else each
+
+    codes = Codes(keys)
+    coded = _coded(training, text_col, keys)
+    heads = codes(names[:m])
     # For the exchange, other words and the end are the last row; they keep their own class there.
-    grid = _pair_counts(training, text_col, heads, m + 2)
+    lookup = np.zeros(len(keys) + 2, dtype=np.int32)
+    lookup[1], lookup[heads] = 1, np.arange(2, m + 2)
+    grid = _pair_counts(coded, m + 2, lookup)
     order = np.append(np.arange(2, m + 2), [0])
     pairs = grid[np.ix_(order, order)]
     pairs[-1] += grid[1, order]
     pairs[:, -1] += grid[order, 1]
-    found = exchange(pairs, classes)
-    lookup = np.concatenate([[rare, stop], found, np.full(reach - m, rare)]).astype(np.int64)
-    if reach > m:
-        seen = np.zeros((kinds, kinds))
-        cls = np.concatenate([[rare, stop], found]).astype(np.int64)
-        np.add.at(seen, (cls[:, None], cls[None, :]), grid)
-        left, right = _neighbours(training, text_col, ids, lookup, m + 2, reach + 2, kinds)
-        lookup[m + 2 :] = place(left, right, seen, min(classes, max(1, m)))
-
-    jumps = _pair_counts(training, text_col, ids, kinds, lookup).astype(float)
-    share = (jumps.sum(0) + 1) / (jumps.sum() + kinds)
+    kinds = np.full(len(keys) + 2, rare, dtype=np.uint8 if size <= 256 else np.int32)
+    kinds[1], kinds[heads] = stop, exchange(pairs, classes)
+
+    far = lookup == 0
+    far[0] = False
+    jumps = _pair_counts(coded, size, kinds)
+    if far.any():
+        entries = 2 * int(each[far[2:]].sum())
+        span = max(1, min(SPAN, len(kinds) * ENTRIES // max(1, entries)))
+        blocks = _neighbours(coded, far, span)
+        for _ in range(sweeps):
+            found = _sweep(blocks, span, kinds, jumps, min(classes, max(1, m)))
+            moved, kinds = int((found != kinds).sum()), found
+            jumps = _pair_counts(coded, size, kinds)
+            if moved <= int(far.sum()) // 200:
+                break
+
+    jumps = jumps.astype(float)
+    share = (jumps.sum(0) + 1) / (jumps.sum() + size)
     jump = (jumps + smoothing * share) / (jumps.sum(1, keepdims=True) + smoothing)
-    of_class = np.zeros(kinds)
-    np.add.at(of_class, lookup[2:], n[:reach])
+    of_class = np.zeros(size)
+    np.add.at(of_class, kinds[2:], each)
     stops = int(jumps.sum(0)[stop])
-    own = of_class[:classes].sum()
-    of_class[rare] = (total - stops - own) + (distinct - (stops > 0) - reach) + 1
+    of_class[rare] = (total - stops - of_class[:classes].sum()) + (distinct - (stops > 0) - reach) + 1
     of_class[stop] = 1
+    own = kinds[codes(names)].tolist()
     model = ClassModel(
-        int(total), int(distinct),
-        {w: (int(lookup[i + 2]) if i < reach else rare, int(c)) for i, (w, c) in enumerate(zip(names, n.tolist()))},
+        int(total), int(distinct), dict(zip(names, zip(own, n.tolist()))), keys, kinds,
         np.log10(jump), np.log10(np.maximum(of_class, 1)), rare,
     )
     return model, counts
@@ -270,8 +396,9 @@ def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, id_col: s
         emit = np.log10(np.maximum(n + (cls == model.rare), 1)) - model.of_class[cls]
         emit[0], emit[1] = -model.of_class[model.rare], 0.0
         known = np.log10(n + 1)
+        codes = Codes(model.keys)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 1 << 20):
                 texts = part.column(text_col).to_pylist()
                 marks = digests([(t or "").encode("utf-8", "surrogatepass") for t in texts])
                 split = [words(t) for t in texts]
@@ -283,30 +410,36 @@ def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, id_col: s
                     flat.extend([get(w, 0) for w in s])
                     flat.append(1)
                 x = np.array(flat, dtype=np.int64)
-                c = cls[x]
-                each = model.jump[c[:-1], c[1:]] + emit[x[1:]]
+                c, e = cls[x], emit[x]
+                far = [[w for w in s if w not in ids] for s in split]
+                kind = model.kinds[codes([w for s in far for w in s])]
+                c[x == 0] = kind
+                e[x == 0] = -model.of_class[kind]
+                each = model.jump[c[:-1], c[1:]] + e[1:]
                 starts = ends - size
                 sums = lambda v: np.add.reduceat(v, starts) if len(starts) else np.zeros(0)
                 score, log_n, hits = sums(each), sums(known[x[1:]]), sums((x[1:] > 1).astype(np.int64))
                 head = [part.column(0), pa.array(marks[:, 0]), pa.array(marks[:, 1])]
                 none = pa.array([b" " + m.tobytes() for m in marks], pa.binary())
                 yield pa.RecordBatch.from_arrays([*head, none, pa.array(np.ones(len(texts), dtype=np.int64)), pa.array(size), pa.array(hits), pa.array(score), pa.array(log_n)], names)
-                other = [Counter(w for w in s if w not in ids) for s in split]
+                other = [Counter(s) for s in far]
                 at = np.repeat(np.arange(len(split)), [len(o) for o in other])
                 if len(at):
                     zero, zeros = pa.array(np.zeros(len(at), dtype=np.int64)), pa.array(np.zeros(len(at)))
                     own = part.column(0).take(pa.array(at))
                     w = pa.array([k for o in other for k in o], pa.binary())
                     tf = pa.array([v for o in other for v in o.values()], pa.int64())
-                    yield pa.RecordBatch.from_arrays([own, pa.array(marks[at, 0]), pa.array(marks[at, 1]), w, zero, tf, zero, zeros, zeros], names)
+                    placed = pa.array((model.kinds[codes(w.to_pylist())] != model.rare).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(marks[at, 0]), pa.array(marks[at, 1]), w, zero, tf, placed, zeros, zeros], names)
 
     names = ["id", "t1", "t2", "word", "rows", "tokens", "hits", "score", "log_n"]
     kind = docs.schema[id_col].dataType.simpleString()
     lines = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, t1 long, t2 long, word binary, rows long, tokens long, hits long, score double, log_n double")
-    # A row for each text (its word matches nothing) and one for each word of it that is not listed.
+    # A row for each text (its word matches nothing) and one for each word of it that is not listed, with 1 as hits if it has a class.
     met = lines.join(counts.withColumnRenamed("n", "_n"), "word", "left")
     more = F.coalesce(F.col("_n"), F.lit(0))
     extra = F.when(F.col("rows") == 0, F.col("tokens") * F.log10(more + 1.0)).otherwise(0.0)
+    said = F.when(F.col("rows") == 0, F.col("tokens") * F.log10(F.greatest(more + 1.0 - F.col("hits"), F.lit(1.0)))).otherwise(0.0)
     whole = met.groupBy("id", "t1", "t2").agg(
         F.sum("rows").alias("rows"),
         F.max(F.when(F.col("rows") == 1, F.col("tokens"))).alias("n_tokens"),
@@ -314,6 +447,7 @@ def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, id_col: s
         F.max(F.when(F.col("rows") == 1, F.col("score"))).alias("score"),
         F.max(F.when(F.col("rows") == 1, F.col("log_n"))).alias("log_n"),
         F.sum(extra).alias("extra"),
+        F.sum(said).alias("said"),
         F.sum(F.when((F.col("rows") == 0) & (more > 0), F.col("tokens")).otherwise(0)).alias("found"),
     )
     stop = counts.where(F.col("word") == F.lit(STOP)).first()
@@ -325,7 +459,7 @@ def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, id_col: s
         (F.col("hits") + F.expr("found div rows") + F.lit(int(stop > 0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("log_n") + extra + F.lit(math.log10(stop + 1)) - F.col("n_tokens") * F.lit(model.base)).alias("base_score"),
-        (F.col("score") + extra).alias("score"),
+        (F.col("score") + F.col("said") / F.col("rows")).alias("score"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_copy"),
     )
     return out.drop("_copy").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -1,5 +1,6 @@
 """Quality, fingerprints and the class model against direct computations."""
 
+import dataclasses
 import hashlib
 import math
 import random
@@ -160,6 +161,32 @@ def test_class_model_equals_brute_force(spark, head, placed, listed):
         assert math.isclose(r["base_score"], w[4], rel_tol=1e-9) and math.isclose(r["score"], w[5], rel_tol=1e-9)
 
 
+def test_every_repeated_word_has_a_class(spark):
+    rng = random.Random(6)
+    many = [f"{'ab'[i % 2]}{i}" for i in range(14_000) for _ in range(2)]
+    rng.shuffle(many)
+    rows = [(i, " ".join(many[i::70]) + f" once{i} w1 w2") for i in range(70)]
+    count = Counter(w for _, t in rows for w in t.encode().split())
+    model, counts = class_lm.fit_classes(table(spark, rows), classes=8, listed=600)
+    kind = dict(zip(count, model.kinds[class_lm.Codes(model.keys)(list(count))].tolist()))
+    repeated = {w for w, n in count.items() if n > 1}
+    assert len(repeated) > 12_288 and len(model.listed) < 1000
+    assert {w for w, c in kind.items() if c != model.rare} == repeated
+    whole = dataclasses.replace(model, listed={w: (kind[w], n) for w, n in count.items()})
+    asked = rows[:20] + [(300, "unseen once3 a0 unseen")]
+    got = sorted((r["doc_id"], r["score"]) for r in class_lm.score_texts(table(spark, asked), model, counts).collect())
+    want = sorted((r[0], r[5]) for r in brute_scores(asked, rows, whole, 8))
+    assert all(g[0] == w[0] and math.isclose(g[1], w[1], rel_tol=1e-9) for g, w in zip(got, want)) and len(got) == len(want)
+
+
+def test_sweeps_part_alternating_words(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"{'xy'[i % 2]}{min(int(rng.expovariate(0.05)), 299)}" for i in range(400))
+    model, _ = class_lm.fit_classes(table(spark, [(i, text()) for i in range(60)]), classes=2, head=40)
+    of = {side: {c for w, (c, n) in model.listed.items() if w[:1] == side and n > 20} for side in (b"x", b"y")}
+    assert len(model.listed) > 120 and len(of[b"x"]) == len(of[b"y"]) == 1 and of[b"x"] != of[b"y"]
+
+
 def test_class_model_is_a_distribution_and_beats_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = class_lm.score_corpus(docs)
