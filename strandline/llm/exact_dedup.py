@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, written
 
-#: Ids up to this number are broadcast (16 bytes each); more are joined by a shuffle.
+#: Ids with digests up to this number are broadcast (48 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 KEY = ["_sha", "_bytes", "_check"]
 
@@ -71,8 +71,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """docs without the rows that exact_dedup does not keep, all columns as they were; ids are taken to be unique."""
-    gone = written(exact_dedup(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("_gone")), "gone")
+    """docs with the rows that exact_dedup keeps, all columns as they were; of rows of one id and text one stays."""
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    found = exact_dedup(docs, id_col, text_col, keep).where(~F.col("kept"))
+    # An id alone does not name a row: another text can have it, and so can a copy that stays.
+    again = F.col(id_col).eqNullSafe(F.col("keep_id")).alias("_again")
+    gone = written(found.select(F.col(id_col).alias("_gone"), F.unhex("text_sha256").alias("_gone_sha"), again).distinct(), "gone")
+    repeats = gone.where("_again").limit(1).count() > 0
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    rows = docs.withColumn("_text_sha", sha)
+    same = rows[id_col].eqNullSafe(gone["_gone"]) & (rows["_text_sha"] == gone["_gone_sha"])
+    left = rows.join(gone, same, "left_anti")
+    if repeats:
+        left = left.unionByName(rows.join(gone.where("_again"), same, "left_semi").dropDuplicates([id_col, "_text_sha"]))
+    return left.drop("_text_sha")

@@ -139,6 +139,15 @@ def test_exact_copies(spark):
     assert left.count() == len({t or "" for _, t in corpus()})
 
 
+def test_drop_copies_of_repeated_and_missing_ids(spark):
+    rows = [(902, "Common"), (902, "Common"), (None, "Common"), (None, "alone"), (7, "alone too"), (7, "twice"), (8, "twice"), (None, None), (9, "")]
+    rows += [(None, "no id"), (None, "no id")]
+    left = exact_dedup.drop_copies(table(spark, rows))
+    assert left.columns == table(spark, []).columns
+    got = sorted((str(r["doc_id"]), r["text"]) for r in left.collect())
+    assert got == [("7", "alone too"), ("8", "twice"), ("9", ""), ("902", "Common"), ("None", "alone"), ("None", "no id")]
+
+
 def brute_lines(rows, threshold):
     split = [((t or "").split("\n")) for _, t in rows]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower()
