@@ -427,8 +427,8 @@ def _linked(members: DataFrame, rule: Rule, order) -> DataFrame:
     return dealt.mapInArrow(run, "a struct<d1: bigint, d2: bigint>, b struct<d1: bigint, d2: bigint>")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), group_limit: int = 4_000_000, shared_limit: int = 1 << 17) -> DataFrame:
-    """id_col, n_shingles, component_id (the smallest id that links reach) for every row of docs."""
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, rule: Rule, group_limit: int = 4_000_000, shared_limit: int = 1 << 17) -> DataFrame:
+    """id, d1, d2, n, component_id, head for every row of docs; head is the one set of the component that is its smallest id's."""
     spark = docs.sparkSession
     base = written(_sets_and_counts(docs, id_col, text_col, rule), "sets")
     sets = base.where("kind = 0").select("id", "d1", "d2", "n")
@@ -463,11 +463,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mark = F.struct("d1", "d2")
     named = nodes.withColumn("mark", mark).join(links, F.col("mark") == F.col("node"), "left").withColumn("root", F.coalesce("root", "mark"))
     named = written(named.select("d1", "d2", "id", "root"), "named")
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    verdict = written(named.join(least, "root").select("d1", "d2", "component_id"), "verdict")
+    first = F.min_by(mark, F.struct(F.col("id").isNull(), "id", "d1", "d2"))
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"), first.alias("head"))
+    verdict = written(named.join(least, "root").select("d1", "d2", "component_id", "head"), "verdict")
     whole = sets.where("n > 0").join(verdict, ["d1", "d2"])
     empty = sets.where("n = 0").withColumn("component_id", F.col("id"))
-    both = whole.unionByName(empty, allowMissingColumns=True)
+    return whole.unionByName(empty, allowMissingColumns=True)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), group_limit: int = 4_000_000, shared_limit: int = 1 << 17) -> DataFrame:
+    """id_col, n_shingles, component_id (the smallest id that links reach) for every row of docs."""
+    both = _verdicts(docs, id_col, text_col, rule, group_limit, shared_limit)
     return both.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -524,7 +530,33 @@ def _own_texts(members: DataFrame, rule: Rule) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(5, 80, 100)) -> DataFrame:
-    """docs with one document of each component, the one of the smallest id; ids are taken to be unique."""
-    found = jaccard_components(docs, id_col, text_col, rule)
-    gone = written(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return without(docs, id_col, gone, "_gone")
+    """docs with one row of each component, of the smallest id; rows without words all stay."""
+    stays = (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("component_id")) & (F.struct("d1", "d2") == F.col("head")))
+    found = written(_verdicts(docs, id_col, text_col, rule).select("id", "d1", "d2", "n", stays.alias("stays")), "verdicts")
+    gone = written(found.where(~F.col("stays")).select(F.col("id").alias("_gone")).distinct(), "gone")
+    several = written(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("_several")), "several")
+    if not several.limit(1).count():
+        return without(docs, id_col, gone, "_gone")
+    # An id of several rows does not name a row: they are judged by id and set.
+    left = without(without(docs, id_col, several, "_several"), id_col, gone, "_gone")
+    rows = docs.where(bloom(several, "_several")(F.col(id_col)))
+    rows = _with_digests(rows.join(several, rows[id_col].eqNullSafe(several["_several"]), "left_semi"), text_col, rule)
+    kept = found.where("stays and n > 0").select(F.col("id").alias("_id_kept"), F.col("d1").alias("_k1"), F.col("d2").alias("_k2"))
+    same = rows[id_col].eqNullSafe(kept["_id_kept"]) & (rows["_d1"] == kept["_k1"]) & (rows["_d2"] == kept["_k2"])
+    one = rows.where("_n > 0").join(kept, same, "left_semi").dropDuplicates([id_col, "_d1", "_d2"])
+    return left.unionByName(rows.where("_n = 0").unionByName(one).drop("_d1", "_d2", "_n"))
+
+
+def _with_digests(docs: DataFrame, text_col: str, rule: Rule) -> DataFrame:
+    """docs with the digest (_d1, _d2) and size (_n) of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(rule.k)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                sets = [shingles(t) for t in part.column(text_col).to_pylist()]
+                marks = [digest(s) if len(s) else (0, 0) for s in sets]
+                more = [[d for d, _ in marks], [d for _, d in marks], [len(s) for s in sets]]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int64()) for x in more)], [*part.schema.names, "_d1", "_d2", "_n"])
+
+    return docs.mapInArrow(run, docs.withColumns({c: F.lit(0).cast("long") for c in ("_d1", "_d2", "_n")}).schema)

@@ -93,6 +93,19 @@ def test_near_copies_leave_one_each(spark):
     assert sorted(kept) == sorted({c for _, _, c in brute_components(rows, 5, 80, 100)})
 
 
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqrs")
+    rows = [(3, one), (None, one + " more"), (None, "a text of its own without id"), (None, None), (None, "")]
+    rows += [(5, two), (7, two + " more"), (7, "another text that has id seven too"), (8, "once is enough for this text"), (8, "once is enough for this text")]
+    rows += [(None, three), (None, three + " more"), (9, four), (9, four + " more"), (10, four)]
+    left = shingle_join.drop_near_copies(table(spark, rows))
+    assert left.columns == table(spark, []).columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    sure = [(3, one), (None, "a text of its own without id"), (None, None), (None, ""), (5, two), (7, "another text that has id seven too"), (8, "once is enough for this text")]
+    assert len(got) == len(sure) + 2 and all(got.count(r) == 1 for r in sure)
+    assert sum(r in got for r in [(None, three), (None, three + " more")]) == 1 and sum(r in got for r in [(9, four), (9, four + " more")]) == 1
+
+
 def test_tree_links_as_pairs_do():
     rng = np.random.default_rng(5)
     for _ in range(30):
