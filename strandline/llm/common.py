@@ -38,12 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{next(_serial)}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
+
+
+def forget(made: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    spark, path = made.sparkSession, made._written_at
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -82,20 +91,33 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
         yield batch.slice(start)
 
 
-def most_frequent(counts: DataFrame, n_col: str, at_most: int) -> DataFrame:
-    """Rows of the largest counts, at most at_most of them: those from the lowest step of a sixteenth of a power of two up with which all fit.
+def most_frequent(counts: DataFrame, n_col: str, at_most: int, key_col: str) -> DataFrame:
+    """Rows of the largest counts, at most at_most of them: whole steps of a sixteenth of a power of two as long as they fit.
 
-    Only the number of rows on each of the (about a thousand) steps goes to the driver; no task sorts or gathers the rows.
+    Of the first step that does not fit, as much goes with them as does by a hash of the key, in 4096 parts.  Only the number of rows
+    on each of the (about a thousand) steps, and on each part, goes to the driver; no task sorts or gathers the rows.
     """
+    counts = counts.where(F.col(n_col) > 0)
     step = F.floor(F.log2(F.col(n_col).cast("double")) * 16).cast("int")
-    sizes = sorted(((r[0], r[1]) for r in counts.where(F.col(n_col) > 0).groupBy(step.alias("s")).count().collect()), reverse=True)
-    total, least = 0, None
-    for s, n in sizes:
-        total += n
-        if total > at_most:
-            break
-        least = s
-    return counts.where(F.lit(False)) if least is None else counts.where((F.col(n_col) > 0) & (step >= least))
+    part = F.pmod(F.xxhash64(key_col), F.lit(4096)).cast("int")
+
+    def fitting(sizes: list[tuple[int, int]], room: int) -> tuple[int | None, int | None, int]:
+        """The last value that fits, the first that does not, and the room then."""
+        last = None
+        for value, n in sizes:
+            if n > room:
+                return last, value, room
+            last, room = value, room - n
+        return last, None, room
+
+    tally = lambda rows, by: [(r[0], r[1]) for r in rows.groupBy(by.alias("s")).count().collect()]
+    whole, split, room = fitting(sorted(tally(counts, step), reverse=True), at_most)
+    chosen = F.lit(False) if whole is None else step >= whole
+    if split is not None and room:
+        last, _, _ = fitting(sorted(tally(counts.where(step == split), part)), room)
+        if last is not None:
+            chosen = chosen | ((step == split) & (part <= last))
+    return counts.where(chosen)
 
 
 def bloom(ids: DataFrame, id_col: str, most_bits: int = 1 << 27):

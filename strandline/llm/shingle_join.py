@@ -433,7 +433,7 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, rule: Rule, group_lim
     base = written(_sets_and_counts(docs, id_col, text_col, rule), "sets")
     sets = base.where("kind = 0").select("id", "d1", "d2", "n")
     many = written(base.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")), "shared")
-    many = np.array(sorted((r[1], r[0]) for r in most_frequent(many, "n", shared_limit).collect()), dtype=np.int64).reshape(-1, 2)
+    many = np.array(sorted((r[1], r[0]) for r in most_frequent(many, "n", shared_limit, "d1").collect()), dtype=np.int64).reshape(-1, 2)
     by_value = np.argsort(many[:, 1])
     order = spark.sparkContext.broadcast((many[by_value, 1].astype(np.uint64), by_value.astype(np.uint64)))
 
