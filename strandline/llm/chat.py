@@ -4,22 +4,28 @@ For every participant of a conversation the dialogue is rendered with that speak
 users with a name, and a mask over what the assistant says.  Speakers are the roles other than "system"; system
 turns stay system turns in every rendering.
 
-A dialogue is rendered in chunks of chunk_turns turn numbers, one row per conversation, speaker and chunk, so that
-a conversation of any length is spread over rows of bounded size.  Speakers are gathered over the whole
-conversation: a chunk in which the speaker is silent is rendered too, without a mask.
+A dialogue has one rendering for each speaker, which comes in chunks of chunk_turns turns, one row per conversation,
+speaker and chunk: the texts of the chunks on end are the whole rendering, and masks count from the start of the dialogue.
+So a conversation of any length is spread over rows of bounded size.  Turns are numbered in two steps, inside
+partitions of a range of turns and by the sizes of those before, and so are offsets: no task holds or orders a whole
+conversation.  Speakers are gathered over the whole conversation: a chunk in which the speaker is silent is
+rendered too, without a mask.
 
 Everything here is DataFrame operations.
 
 Defined cases: a null text is empty, a null role is "unknown", a null turn counts as 0; turns with equal numbers are
-ordered by role and text; repeated rows are turns of their own; markers inside texts and names are broken up; a
-conversation of system turns alone has no row; an empty table gives an empty result; other columns are ignored.
+ordered by role and by the MD5 of the text; repeated rows are turns of their own; markers inside texts and names are broken
+up; a conversation of system turns alone has no row; a null conversation is one; a very long text is one turn, whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import partitions, written
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -27,8 +33,41 @@ def _plain(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("< |"))
 
 
+def before(rows: DataFrame, keys: list[str], at: str, size: str, name: str, block: int = 1024) -> DataFrame:
+    """rows with the sum of size over those of equal keys and lower at (which is a number from 0 on), in blocks of at."""
+    rows = rows.withColumn("_block", F.floor(F.col(at) / block))
+    blocks = rows.groupBy(*keys, "_block").agg(F.sum(size).alias("_sum"))
+    sofar = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_sum").over(sofar(keys, "_block")), F.lit(0))).drop("_sum")
+    blocks = blocks.select(*[F.col(c).alias(f"_b{c}") for c in (*keys, "_block")], "_start")
+    rows = rows.withColumn("_inside", F.coalesce(F.sum(size).over(sofar([*keys, "_block"], at)), F.lit(0)))
+    same = F.lit(True)
+    for c in (*keys, "_block"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{c}"))
+    found = rows.join(blocks, same).withColumn(name, F.col("_start") + F.col("_inside"))
+    return found.drop("_block", "_inside", "_start", *[f"_b{c}" for c in (*keys, "_block")])
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (_id, turn, role, text) with pos, their place in the conversation from 0 on."""
+    rows = rows.withColumn("_text", F.md5("text")).withColumn("_row", F.monotonically_increasing_id())
+    order = ["turn", "role", "_text", "_row"]
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), "_id", *order)
+    dealt = written(dealt.withColumn("_part", F.spark_partition_id()), "turns")
+    inside = Window.partitionBy("_id", "_part").orderBy(*order)
+    dealt = dealt.withColumn("_nth", F.row_number().over(inside) - 1)
+    parts = dealt.groupBy("_id", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("_id").alias("_pid"), F.col("_part").alias("_ppart"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_sofar"))
+    found = dealt.join(parts, F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_part") == F.col("_ppart")))
+    return found.select("_id", "turn", "role", "text", (F.col("_sofar") + F.col("_nth")).cast("long").alias("pos"))
+
+
 def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk_turns: int = 256) -> DataFrame:
-    """id_col, speaker, chunk, n_turns, n_loss_turns, text, mask (start and end of code points, end excluded)."""
+    """id_col, speaker, chunk, n_turns, n_loss_turns, text, start (of the chunk in the rendering), mask (start and end, end excluded).
+
+    Places are code points from the start of the rendering.
+    """
     rows = turns.select(
         F.col(id_col).alias("_id"),
         F.coalesce(F.col(turn_col), F.lit(0)).cast("long").alias("turn"),
@@ -36,7 +75,8 @@ def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
         _plain(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
     )
     speakers = rows.where(F.col("role") != "system").select("_id", F.col("role").alias("speaker")).distinct()
-    chunks = rows.groupBy("_id", F.floor(F.col("turn") / chunk_turns).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    chunk = F.floor(F.col("pos") / chunk_turns).cast("long")
+    chunks = numbered(rows).groupBy("_id", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
     both = chunks.join(speakers.withColumnRenamed("_id", "_sid"), F.col("_id").eqNullSafe(F.col("_sid")))
 
     def part(t: Column) -> Column:
@@ -48,10 +88,10 @@ def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
         return F.struct(F.concat(F.lit(START), who, F.lit("\n")).alias("head"), F.concat(t["text"], F.lit(END)).alias("said"), (t["role"] == F.col("speaker")).alias("loss"))
 
     both = both.withColumn("_parts", F.transform("turns", part))
-    span = "struct<start:int,end:int>"
+    span = "struct<start:bigint,end:bigint>"
     at = F.aggregate(
         "_parts",
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("mask")),
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("mask")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p["head"]) + F.length(p["said"]) + 1).alias("at"),
             F.when(
@@ -65,12 +105,15 @@ def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
             .alias("mask"),
         ),
     )
-    return both.select(
-        F.col("_id").alias(id_col),
+    rendered = both.select(
+        "_id",
         "speaker",
         "chunk",
         F.size("_parts").cast("long").alias("n_turns"),
         F.size(F.filter("_parts", lambda p: p["loss"])).cast("long").alias("n_loss_turns"),
         F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["said"], F.lit("\n"))), "").alias("text"),
-        at["mask"].alias("mask"),
+        at.alias("_at"),
     )
+    rendered = before(rendered.withColumn("_size", F.col("_at")["at"]), ["_id", "speaker"], "chunk", "_size", "start")
+    moved = F.transform(F.col("_at")["mask"], lambda m: F.struct((m["start"] + F.col("start")).alias("start"), (m["end"] + F.col("start")).alias("end")))
+    return rendered.select(F.col("_id").alias(id_col), "speaker", "chunk", "n_turns", "n_loss_turns", "text", "start", moved.alias("mask"))

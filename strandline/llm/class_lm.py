@@ -61,8 +61,8 @@ def word_counts(training: DataFrame, text_col: str) -> DataFrame:
         seen: Counter[bytes] = Counter()
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(hashes(list(seen)).view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["h", "n"])
         for batch in batches:
-            for part in slices(batch, text_col):
-                for text in part.column(text_col).to_pylist():
+            for part in slices(batch, "_text"):
+                for text in part.column("_text").to_pylist():
                     seen.update(words(text))
                 if len(seen) > 400_000:
                     yield rows()
@@ -70,7 +70,7 @@ def word_counts(training: DataFrame, text_col: str) -> DataFrame:
         if seen:
             yield rows()
 
-    return written(training.select(text_col).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    return written(training.select(F.col(text_col).cast("binary").alias("_text")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
 
 
 # --- exchange clustering -----------------------------------------------------------------------------------
@@ -222,7 +222,7 @@ def _coded(docs: DataFrame, id_col: str, text_col: str, train: Column, listed: L
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _binary(sizes, np.where(far, 0, x).astype("<i4")), _binary(each, t)], ["id", "train", "x", "t"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), train.alias("_train"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), train.alias("_train"), F.col(text_col).cast("binary").alias("_text"))
     rows = rows.mapInArrow(code, f"id {kind}, train boolean, x binary, t binary")
     # The number is that of the row as it was written.
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "codes", "zstd")

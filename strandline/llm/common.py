@@ -68,9 +68,10 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def words(text: str | None) -> list[bytes]:
+def words(text: str | bytes | None) -> list[bytes]:
     """ASCII-lower-cased words of [^\\x20\\x09-\\x0D]+; none for a null text."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    data = text or b""
+    return (data.encode("utf-8", "surrogatepass") if isinstance(data, str) else data).lower().split()
 
 
 def digests(keys: list[bytes]) -> np.ndarray:

@@ -6,14 +6,18 @@ inserted and deleted; counts go up and down, keys cross the threshold either way
 filter, so deleting what was inserted gives back the earlier state.  Each state is a pair of tables in the
 shared folder; older states stay readable.
 
-Lines are judged where the text lies: filters are small, and what a filter claims wrongly about a key of the
-corpus is listed exactly ("exceptions", found by probing the whole reference-count table).  Filters and
-exceptions are broadcast only while both are within `broadcast_limit` bytes; beyond it, lines go through a salted
-join with the exact counts, with the same result.
+Filters judge lines in one of two places, with one result.  While filters are within `broadcast_limit` bytes they go to the
+texts, and what a filter claims wrongly about a key of the corpus is listed exactly ("exceptions", found by probing
+the whole reference-count table, and within the same limit).  Beyond it the keys go to the filters: a text's distinct keys are
+dealt to the shards, each in `salts` parts by text, and meet the shard's filter there; only the keys it claims are
+joined with the exact counts.
+
+The number of shards follows the number of shared keys; where it changes, filters are made anew from the exact counts.
 
 A line is text between \\n; its key has [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased; empty keys are
 never dropped.  Defined cases: null and empty texts have one empty line; repeated rows count as documents each;
-an empty table gives an empty result; other columns are ignored.
+deleting what was not inserted is an error; an empty table gives an empty result; a very long text is split in memory of
+some ten times its size; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, digests, slices, written
+from .common import BLANKS, digests, partitions, slices, written
 
 SLOTS, KICKS, FILTER_LOAD = 4, 500, 0.85
-SALTS = 16
 KEYS_PER_SHARD = 1 << 16
 
 
@@ -151,6 +154,18 @@ class Probe:
         return (self.slots[(at + first).astype(np.int64)] == want).any(1) | (self.slots[(at + second).astype(np.int64)] == want).any(1)
 
 
+def shards_for(shared: int) -> int:
+    shards = 1
+    while shards < 1 << 16 and shards * KEYS_PER_SHARD < shared:
+        shards *= 2
+    return shards
+
+
+def packed(keys: np.ndarray) -> np.ndarray:
+    """Digests as one value each, which can be sorted."""
+    return np.ascontiguousarray(keys, dtype=np.int64).view("S16").ravel()
+
+
 def shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
     """The low 16 bits choose the shard, the bits above them the bucket; shards is a power of two up to 65536."""
     return (h1.view(np.uint64) & np.uint64(shards - 1)).astype(np.int64)
@@ -198,13 +213,13 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, text_col: str = "text", threshold: int = 10, broadcast_limit: int = 64 << 20) -> LineIndex:
-        refs = written(reference_counts(docs, text_col), "refs")
-        shared = refs.where(F.col("refs") >= threshold)
-        shards = 1
-        while shards < 1 << 16 and shards * KEYS_PER_SHARD < shared.count():
-            shards *= 2
-        made = cls(docs.sparkSession, threshold, shards, refs, refs.limit(0), broadcast_limit)
-        keys = shared.select("h1", "h2", made._shard().alias("shard"))
+        return cls._of(docs.sparkSession, threshold, written(reference_counts(docs, text_col), "refs"), broadcast_limit)
+
+    @classmethod
+    def _of(cls, spark: SparkSession, threshold: int, refs: DataFrame, broadcast_limit: int) -> LineIndex:
+        """The index of exact counts, with filters made from them."""
+        made = cls(spark, threshold, shards_for(refs.where(F.col("refs") >= threshold).count()), refs, refs.limit(0), broadcast_limit)
+        keys = made.repeated().select("h1", "h2", made._shard().alias("shard"))
         made.filters = written(keys.groupBy("shard").applyInPandas(_new_filter, "shard int, slots binary"), "filters")
         return made
 
@@ -215,13 +230,17 @@ class LineIndex:
         return self._changed(reference_counts(docs, text_col))
 
     def delete(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
-        """The state without docs, which must have been inserted before."""
+        """The state without docs; an error if they were not inserted before."""
         return self._changed(reference_counts(docs, text_col).withColumn("refs", -F.col("refs")))
 
     def _changed(self, delta: DataFrame) -> LineIndex:
         both = self.refs.select("h1", "h2", "refs", F.col("refs").alias("was")).unionByName(delta.withColumn("was", F.lit(0).cast("long")))
         sums = written(both.groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.sum("was").alias("was")), "sums")
+        if sums.where("refs < 0").limit(1).count():
+            raise ValueError("a line is to be deleted more often than it was inserted")
         refs = written(sums.where("refs > 0").select("h1", "h2", "refs"), "refs")
+        if shards_for(refs.where(F.col("refs") >= self.threshold).count()) != self.shards:
+            return self._of(self.spark, self.threshold, refs, self.broadcast_limit)
         old, new = F.col("was") >= self.threshold, F.col("refs") >= self.threshold
         keys = sums.where(old | new).select("h1", "h2", old.alias("was"), new.alias("now"), self._shard().alias("shard"))
         filters = self.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(_updated_filter, "shard int, slots binary")
@@ -231,7 +250,7 @@ class LineIndex:
         return self.refs.where(F.col("refs") >= self.threshold).select("h1", "h2")
 
     def probe(self) -> tuple[Probe, np.ndarray] | None:
-        """Filters and exceptions, or None where they are over the limit."""
+        """Filters and exceptions (digests in order), or None where they are over the limit."""
         size = self.filters.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
         if size > self.broadcast_limit:
             return None
@@ -246,14 +265,15 @@ class LineIndex:
         wrong = written(self.refs.where(F.col("refs") < self.threshold).select("h1", "h2").mapInArrow(claimed, "h1 long, h2 long"), "exceptions")
         if size + 16 * wrong.count() > self.broadcast_limit:
             return None
-        return filters, np.array([(r[0], r[1]) for r in wrong.toLocalIterator()], dtype=np.int64).reshape(-1, 2)
+        wrong = wrong.toArrow()
+        return filters, np.sort(packed(np.column_stack([wrong.column(0).to_numpy(), wrong.column(1).to_numpy()])))
 
     def drop_lines(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """id_col, n_lines, n_dropped, kept_text for every row of docs, which must be among the inserted documents."""
         found = self.probe()
         if found is None:
-            return self._drop_by_join(docs, id_col, text_col)
-        held = self.spark.sparkContext.broadcast((found[0], frozenset(map(tuple, found[1].tolist()))))
+            return self._drop_at_shards(docs, id_col, text_col)
+        held = self.spark.sparkContext.broadcast(found)
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             probe, exceptions = held.value
@@ -262,15 +282,19 @@ class LineIndex:
                     split = [line_keys(x) for x in part.column(text_col).to_pylist()]
                     keys = digests([k for _, ks in split for k in ks])
                     drop = probe.has(keys) & np.array([bool(k) for _, ks in split for k in ks], dtype=bool)
-                    for i in np.flatnonzero(drop) if exceptions else ():
-                        drop[i] = (int(keys[i, 0]), int(keys[i, 1])) not in exceptions
+                    if len(exceptions):
+                        at = np.flatnonzero(drop)
+                        claimed = packed(keys[at])
+                        place = np.minimum(np.searchsorted(exceptions, claimed), len(exceptions) - 1)
+                        drop[at[exceptions[place] == claimed]] = False
                     yield _kept(part.column(0), split, drop)
 
         kind = docs.schema[id_col].dataType.simpleString()
         return docs.select(id_col, text_col).mapInArrow(judge, f"`{id_col}` {kind}, n_lines long, n_dropped long, kept_text string")
 
-    def _drop_by_join(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """The same by a join with the exact counts.  A common key's rows are dealt to SALTS groups by document."""
+    def _drop_at_shards(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """The same where the filters lie.  A shard's keys are dealt to salts parts by text, so that a common key is spread."""
+        salts = max(16, partitions(self.spark) // self.shards)
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -281,9 +305,30 @@ class LineIndex:
                     h = digests([k for ks in keys for k in ks])
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[:, 0], own[:, 1], h[:, 0], h[:, 1])], ["t1", "t2", "h1", "h2"])
 
-        pairs = docs.select(text_col).mapInArrow(explode, "t1 long, t2 long, h1 long, h2 long").withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int"))
-        shared = self.repeated().withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        hits = pairs.join(shared, ["h1", "h2", "salt"], "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
+        def claimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A part's filter comes before its keys; where a shard has no filter nothing is claimed."""
+            at, here = None, None
+            for batch in batches:
+                shard, salt, slots = (batch.column(i) for i in (4, 5, 6))
+                place = shard.to_numpy().astype(np.int64) * salts + salt.to_numpy()
+                keep = np.zeros(len(place), dtype=bool)
+                start = np.flatnonzero(np.diff(place, prepend=-1))
+                for i, j in zip(start, [*start[1:], len(place)]):
+                    if place[i] != at:
+                        at, here = place[i], slots[int(i)].as_py()
+                    if here is not None:
+                        keys = np.column_stack([batch.column(k).to_numpy()[i:j] for k in (2, 3)])
+                        keep[i:j] = CuckooFilter(np.frombuffer(here, dtype=np.uint16).reshape(-1, SLOTS)).has(keys)
+                yield batch.select(range(4)).filter(pa.array(keep & slots.is_null().to_numpy(zero_copy_only=False)))
+
+        pairs = docs.select(text_col).mapInArrow(explode, "t1 long, t2 long, h1 long, h2 long")
+        pairs = pairs.withColumns({"shard": self._shard(), "salt": F.pmod("t1", F.lit(salts)).cast("int"), "slots": F.lit(None).cast("binary")})
+        nothing = [F.lit(0).cast("long").alias(c) for c in ("t1", "t2", "h1", "h2")]
+        filters = self.filters.select(*nothing, "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "slots")
+        met = pairs.unionByName(filters).repartition(partitions(self.spark), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("slots").isNull())
+        met = met.mapInArrow(claimed, "t1 long, t2 long, h1 long, h2 long").withColumn("salt", F.pmod("t1", F.lit(salts)).cast("int"))
+        shared = self.repeated().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hits = met.join(shared, ["h1", "h2", "salt"], "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

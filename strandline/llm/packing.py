@@ -10,7 +10,8 @@ lengths travel.  Pieces are dealt by hash into shards of about shard_rows, each
 and shards grow in number with the corpus.
 
 Defined cases: a null or empty text is a document of one (end) token; an empty table gives an empty result;
-repeated rows are packed each; ties are broken by id; other columns are ignored.
+repeated rows are packed each; ties are broken by id, null last, then by a hash of the text; a very long text is as many pieces as
+it needs; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .mixing import word_count
+from .mixing import measured
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 
@@ -60,22 +62,24 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, shard_rows: int = 4096) -> DataFrame:
     """One row per bin: shard, bin, capacity, used, n_pieces, doc_ids, starts and sizes (of the pieces, in tokens)."""
     top = max(lengths)
-    rows = docs.select(F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("_n"))
+    rows = measured(docs, text_col, _id=F.col(id_col))
     pieces = rows.withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(top).cast("long"))))
-    pieces = written(pieces.select("_id", "_start", F.least(F.col("_n") - F.col("_start"), F.lit(top)).cast("int").alias("_size")), "pieces")
+    pieces = written(pieces.select("_id", "_mark", "_start", F.least(F.col("_n") - F.col("_start"), F.lit(top)).cast("int").alias("_size")), "pieces")
     shards = max(1, -(-pieces.count() // shard_rows))
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("_id", "_start", "_size"), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("_id", "_mark", "_start"), F.lit(shards)).cast("int"))
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_size", "_id", "_start"], ascending=[False, True, True], kind="stable")
-        bins, capacities = best_fit(pdf["_size"].tolist(), lengths)
-        pdf["bin"] = bins
-        got = pdf.groupby("bin", sort=True).agg(used=("_size", "sum"), n_pieces=("_size", "size"), doc_ids=("_id", list), starts=("_start", list), sizes=("_size", list)).reset_index()
-        got["doc_ids"] = [[None if pd.isna(x) else x for x in xs] for xs in got["doc_ids"]]
-        return got.assign(shard=int(key[0]), capacity=capacities)
-
-    return dealt.groupBy("_shard").applyInPandas(
-        lambda key, pdf: fill(key, pdf)[["shard", "bin", "capacity", "used", "n_pieces", "doc_ids", "starts", "sizes"]],
-        f"shard int, bin int, capacity int, used int, n_pieces int, doc_ids array<{kind}>, starts array<bigint>, sizes array<int>",
-    )
+    order = [("_size", "descending"), ("_id", "ascending"), ("_mark", "ascending"), ("_start", "ascending")]
+
+    def fill(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.compute.sort_indices(rows, sort_keys=order)).combine_chunks()
+        sizes = rows.column("_size").to_numpy()
+        bins, capacities = best_fit(sizes.tolist(), lengths)
+        bins = np.array(bins, dtype=np.int64)
+        by_bin = np.argsort(bins, kind="stable")
+        rows, sizes = rows.take(pa.array(by_bin)).combine_chunks(), sizes[by_bin]
+        ends = np.searchsorted(bins[by_bin], np.arange(len(capacities) + 1))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(rows.column(c).chunks)) for c in ("_id", "_start", "_size")]
+        numbers = [np.repeat(rows.column("_shard")[0].as_py(), len(capacities)), np.arange(len(capacities)), capacities, np.add.reduceat(sizes, ends[:-1]), np.diff(ends)]
+        return pa.Table.from_arrays([*(pa.array(x, pa.int32()) for x in numbers), *lists], ["shard", "bin", "capacity", "used", "n_pieces", "doc_ids", "starts", "sizes"])
+
+    return dealt.groupBy("_shard").applyInArrow(fill, f"shard int, bin int, capacity int, used int, n_pieces int, doc_ids array<{kind}>, starts array<bigint>, sizes array<int>")

@@ -5,13 +5,16 @@ fitted by the logistic loss on feature differences of pairs.  The cut is searche
 of ALL documents: the one that best separates all labelled training rows (balanced accuracy; the middle one of
 equals).  The score that is returned is logistic in the distance from the cut, and is 0.7 exactly there.
 
+Raw scores are rounded down to multiples of 1/4096 between -64 and 64, so a table has at most 2**19 of them, and quantiles are
+exact: they follow from the number of rows of each, and not from how the rows lie in files.
+
 Bounds: the fit uses at most about `sample` labelled rows (chosen by a hash of the id) and `pairs` pairs; everything
 else covers all rows.
 
 Defined cases: null and empty texts have features of 0 and get a score; rows without a label are only scored; a label
 that is null counts as none, of several labels of a document the least counts; without training labels of both kinds
-nothing is rejected (every score is 0.7); repeated rows are scored each; an empty table gives an empty result; other
-columns are ignored.
+nothing is rejected (every score is 0.7); repeated rows are scored each; a very long text is read whole; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from .common import slices, written
 KNOTS = (0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98)
 FEATURES = 14
 CUT = 0.7
+#: Raw scores are whole numbers of 1/GRID, of size below SPAN.
+GRID, SPAN = 4096, 64
 _kinds = np.zeros(256, dtype=np.int64)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"|", b"!?", b".,;:'\"()-", b"\n", b" \t\r\v\f"), 1):
     for _c in _chars:
@@ -84,7 +89,8 @@ class Ranker:
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Summed row by row: a matrix product would round by the rows around, and a text at the cut could fall on either side."""
-        return (self.expand(x) * self.weights).sum(axis=1) if len(x) else np.zeros(0)
+        raw = (self.expand(x) * self.weights).sum(axis=1) if len(x) else np.zeros(0)
+        return np.floor(np.clip(raw, -SPAN, SPAN - 1 / GRID) * GRID) / GRID
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, ridge: float = 5.0, seed: int = 7) -> Ranker:
@@ -138,8 +144,8 @@ def feature_rows(docs: DataFrame, text_col: str, others: list[str]) -> DataFrame
     return docs.select(*others, text_col).mapInArrow(run, with_column(docs, others, "_features", T.ArrayType(T.DoubleType())))
 
 
-def raw_scores(docs: DataFrame, ranker: Ranker, text_col: str, others: list[str], above: float | None = None) -> DataFrame:
-    """The columns others and _raw; above: only rows with at least that score."""
+def raw_scores(docs: DataFrame, ranker: Ranker, text_col: str, others: list[str]) -> DataFrame:
+    """The columns others and _raw."""
     held = docs.sparkSession.sparkContext.broadcast(ranker)
     passed = [text_col, *(c for c in others if c != text_col)]
 
@@ -148,14 +154,15 @@ def raw_scores(docs: DataFrame, ranker: Ranker, text_col: str, others: list[str]
             for part in slices(batch, text_col):
                 x = np.array([features(t) for t in part.column(text_col).to_pylist()]).reshape(-1, FEATURES)
                 raw = held.value.raw(x)
-                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(raw, pa.float64())], [*others, "_raw"])
-                yield out if above is None else out.filter(pa.array(raw >= above))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(raw, pa.float64())], [*others, "_raw"])
 
     return docs.select(*passed).mapInArrow(run, with_column(docs, others, "_raw", T.DoubleType()))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, quantiles: int = 400) -> tuple[QualityModel, DataFrame]:
-    """The model, and the table of id_col and _raw of all documents.  labels: the rows to learn from, all training rows."""
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, quantiles: int = 400, kept: list[str] | None = None,
+) -> tuple[QualityModel, DataFrame]:
+    """The model, and the table of the kept columns (else id_col alone) and _raw of all documents.  labels: all rows to learn from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = written(known.groupBy(F.col(id_col).alias("_lid")).agg(F.min(label_col).cast("int").alias("_label")), "labels")
     n = known.count()
@@ -165,19 +172,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     # Sorted, so that the fit does not depend on the order in which tasks end.
     got = sorted((r["_label"], tuple(r["_features"])) for r in got)
     ranker = fit_pairs(np.array([x for _, x in got]), np.array([y for y, _ in got]))
-    scored = written(raw_scores(docs, ranker, text_col, [id_col]), "scores")
-
-    grid = scored.agg(F.percentile_approx("_raw", [i / quantiles for i in range(quantiles + 1)], 100_000)).first()[0]
-    grid = sorted(set(grid or []))
-    if not grid or not ranker.weights.any():
-        return QualityModel(ranker, -math.inf if not grid else 0.0), scored
-    step = F.size(F.filter(F.array(*map(F.lit, grid)), lambda g: g <= F.col("_raw")))
-    counts = scored.join(known, F.col(id_col) == F.col("_lid")).groupBy(step.alias("_step"), "_label").count().collect()
+    scored = written(raw_scores(docs, ranker, text_col, kept or [id_col]), "scores")
+
+    every = sorted((r[0], r[1]) for r in scored.groupBy("_raw").count().collect())
+    if not every or not ranker.weights.any():
+        return QualityModel(ranker, 0.0 if every else -math.inf), scored
+    raw, upto = np.array([r for r, _ in every]), np.cumsum([n for _, n in every])
+    ranks = np.ceil(np.linspace(0, 1, quantiles + 1) * upto[-1]).clip(1)
+    grid = np.unique(raw[np.searchsorted(upto, ranks)])
     tally = np.zeros((len(grid) + 1, 2))
-    for r in counts:
-        tally[r["_step"], 1 if r["_label"] == 1 else 0] += r["count"]
-    kept = tally[::-1].cumsum(0)[::-1]  # row k: labels of rows with at least grid[k - 1]
-    gain = kept[1:, 1] / max(1, kept[0, 1]) - kept[1:, 0] / max(1, kept[0, 0])
+    for r in scored.join(known, F.col(id_col) == F.col("_lid")).groupBy("_raw", "_label").count().collect():
+        tally[np.searchsorted(grid, r["_raw"], side="right"), 1 if r["_label"] == 1 else 0] += r["count"]
+    above = tally[::-1].cumsum(0)[::-1]  # row k: labels of rows with at least grid[k - 1]
+    gain = above[1:, 1] / max(1, above[0, 1]) - above[1:, 0] / max(1, above[0, 0])
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     return QualityModel(ranker, float(grid[int(best[len(best) // 2])])), scored
 
@@ -191,6 +198,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> DataFrame:
-    """docs without the rows that are rejected; all columns as they were."""
-    model, _ = fit_quality(docs, labels, id_col, text_col, label_col, sample)
-    return raw_scores(docs, model.ranker, text_col, docs.columns, above=model.cut).drop("_raw")
+    """docs without the rows that are rejected; all columns as they were.  Texts are written once with their scores."""
+    model, scored = fit_quality(docs, labels, id_col, text_col, label_col, sample, kept=docs.columns)
+    return scored.where(model.keep(F.col("_raw"))).drop("_raw")

@@ -45,7 +45,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit(":"), m["end"].cast("string"))), ",")
-    return got.select("conv_id", "speaker", "chunk", "n_turns", "n_loss_turns", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), spans.alias("mask_spans"))
+    return got.select("conv_id", "speaker", "chunk", "n_turns", "n_loss_turns", "start", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), spans.alias("mask_spans"))
 
 
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,14 +79,15 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 _CHAT = """
 WITH rows AS (SELECT conv_id, coalesce(turn, 0) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) - 1 AS pos FROM rows),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM rows WHERE role <> 'system'),
-parts AS (SELECT conv_id, speaker, turn // 256 AS chunk, turn, role, text, role = speaker AS loss,
+parts AS (SELECT conv_id, speaker, pos, pos // 256 AS chunk, role = speaker AS loss,
                  '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
-                 text || '<|im_end|>' AS said FROM rows JOIN speakers USING (conv_id)),
-placed AS (SELECT *, coalesce(sum(length(head) + length(said) + 1) OVER (PARTITION BY conv_id, speaker, chunk ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos FROM parts)
-SELECT conv_id, speaker, chunk, count(*) AS n_turns, count(*) FILTER (WHERE loss) AS n_loss_turns, sum(length(head) + length(said) + 1)::BIGINT AS n_chars,
-       sha256(string_agg(head || said || chr(10), '' ORDER BY turn, role, text)) AS text_sha256,
-       coalesce(string_agg(pos::BIGINT || ':' || (pos + length(said))::BIGINT, ',' ORDER BY turn, role, text) FILTER (WHERE loss), '') AS mask_spans
+                 text || '<|im_end|>' AS said FROM numbered JOIN speakers USING (conv_id)),
+placed AS (SELECT *, (sum(length(head) + length(said) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY pos))::BIGINT - length(said) - 1 AS at FROM parts)
+SELECT conv_id, speaker, chunk, count(*) AS n_turns, count(*) FILTER (WHERE loss) AS n_loss_turns, min(at - length(head)) AS start, sum(length(head) + length(said) + 1)::BIGINT AS n_chars,
+       sha256(string_agg(head || said || chr(10), '' ORDER BY pos)) AS text_sha256,
+       coalesce(string_agg(at || ':' || (at + length(said)), ',' ORDER BY pos) FILTER (WHERE loss), '') AS mask_spans
 FROM placed GROUP BY conv_id, speaker, chunk
 """
 
@@ -111,5 +112,17 @@ FROM judged
 """
 
 
+_SHINGLES = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 3 THEN list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+r(doc_id, root) AS (SELECT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, coalesce(min(r.root), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINES, "op7_exact_dedup": _COPIES, "op8_chat_rotation": _CHAT, "op9_revisits": _REVISITS}
+    return {"op2_line_dedup": _LINES, "op7_exact_dedup": _COPIES, "op8_chat_rotation": _CHAT, "op9_revisits": _REVISITS, "op10_shingle_join": _SHINGLES}

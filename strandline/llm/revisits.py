@@ -8,9 +8,11 @@ As-of is a running "last full response" in two levels, so that one URL with a th
 cut at quantiles into slots, the running value inside (url, slot) is one window, and what earlier slots leave behind
 is a second window over at most `slots` rows of a URL.  Bodies do not travel; the result names the record that has it.
 
-Defined cases: a record with null url resolves to nothing; order is (captured_at, record_id); of records equal in both,
-a response comes before a revisit; a validator that either side lacks is not compared, and without any common
-validator a revisit is not resolved; other columns are ignored; an empty table gives an empty result.
+Defined cases: a record with null url resolves to nothing; captured_at is a whole number (bigint), and a null one is the earliest;
+order is (captured_at, record_id); of records equal in both, a response comes before a revisit, and of equal responses any
+may be taken; a kind that is neither is no record of either sort; a validator that either side lacks is not compared, and
+without any common validator a revisit is not resolved; of headers whose names differ in case alone the last in order of bytes
+counts; very long texts are in bodies, which are not read; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,11 +46,19 @@ def _strong(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
+def _lowered(headers: Column) -> Column:
+    """Headers with names in lower case; of names that differ in case alone the last in order of bytes counts."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
+    names = F.transform(entries, lambda e: F.lower(e["key"]))
+    lowered = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.filter(lowered, lambda e, i: F.array_position(F.slice(names, i + 2, F.size(names)), e["key"]) == 0)
+    return F.map_from_entries(last)
+
+
 def merged_headers(stored: Column, fresh: Column) -> Column:
     """Stored headers with those of the 304 over them, as far as a 304 may replace them; names in lower case."""
-    lowered = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
-    permitted = F.map_filter(lowered(fresh), lambda k, v: ~k.isin(*KEPT_HEADERS))
-    return F.map_concat(F.map_filter(lowered(stored), lambda k, v: ~F.map_contains_key(permitted, k)), permitted)
+    permitted = F.map_filter(_lowered(fresh), lambda k, v: ~k.isin(*KEPT_HEADERS))
+    return F.map_concat(F.map_filter(_lowered(stored), lambda k, v: ~F.map_contains_key(permitted, k)), permitted)
 
 
 def resolve_revisits(records: DataFrame, slots: int = 256) -> DataFrame:
@@ -73,7 +83,9 @@ def resolve_revisits(records: DataFrame, slots: int = 256) -> DataFrame:
         .withColumn("_carried", F.last("_last", ignorenulls=True).over(Window.partitionBy("canonical_url").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)))
         .select("canonical_url", "_slot", "_carried")
     )
-    found = inside.join(left, ["canonical_url", "_slot"], "left").withColumn("_base", F.coalesce("_here", "_carried"))
+    # Windows put records without a URL together; the join does not.
+    here = F.when(F.col("canonical_url").isNotNull(), F.col("_here"))
+    found = inside.join(left, ["canonical_url", "_slot"], "left").withColumn("_base", F.coalesce(here, "_carried"))
     base = F.col("_base")
     checks = [
         F.when(F.col("etag").isNotNull() & base["etag"].isNotNull(), _strong(F.col("etag")) == _strong(base["etag"])),

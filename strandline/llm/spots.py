@@ -11,7 +11,7 @@ frequent words over all documents.
 
 Defined cases: a text without a complete spot takes every word as an anchor; a text without words takes its
 whole text as the one spot; null counts as empty, and the empty text has the empty fingerprint, which is like
-another empty one (1) and unlike all others (0); repeated rows get a result each and are one another's next; the
+another empty one (1) and unlike all others (0); ids are whole numbers, others an error; a very long text is read whole; repeated rows get a result each and are one another's next; the
 order of documents is (id, hash of the text), null ids first; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -129,6 +129,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Columns _slot, _guest, _id, _text.  Slots are cut at quantiles of the ids, four to a partition; only the cuts
     and each slot's first id go to the driver.  A text is shuffled once.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} is to be a whole number, as it gives the order of the documents")
     slots = 4 * partitions(docs.sparkSession)
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_key"))
     cuts = ids.agg(F.percentile_approx("_key", [i / slots for i in range(1, slots)], 20 * slots)).first()[0]

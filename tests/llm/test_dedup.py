@@ -195,6 +195,38 @@ def test_line_index_is_reversible(spark):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_line_index_grows_and_refuses_what_it_has_not(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 8)
+    rows = corpus(120)
+    empty = line_dedup.LineIndex.build(table(spark, []), threshold=3)
+    assert empty.shards == 1
+    grown = empty.insert(table(spark, rows))
+    assert grown.shards == line_dedup.LineIndex.build(table(spark, rows), threshold=3).shards > 1
+    assert sorted(map(tuple, grown.drop_lines(table(spark, rows)).collect())) == brute_lines(rows, 3)
+    at_shards = line_dedup.LineIndex._of(spark, 3, grown.refs, 0)
+    assert sorted(map(tuple, at_shards.drop_lines(table(spark, rows)).collect())) == brute_lines(rows, 3)
+    assert grown.delete(table(spark, rows)).shards == 1
+    with pytest.raises(ValueError):
+        empty.delete(table(spark, rows[:20]))
+    with pytest.raises(ValueError):
+        grown.delete(table(spark, [(1000, "never inserted")]))
+
+
+def test_runs_are_merged_in_order(spark):
+    """Every merge reads rows in the order of slice, run and digest, and aggregates them as they come."""
+    plans = []
+    take = exact_dedup.written
+    try:
+        exact_dedup.written = lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), take(df, name))[1]
+        exact_dedup.exact_dedup(table(spark, corpus(30)), fan_in=2).collect()
+    finally:
+        exact_dedup.written = take
+    merges = [p for n, p in plans if n.startswith("level") or n == "verdict"]
+    assert len(merges) == 3 and all("SortAggregate" in p and "HashAggregate" not in p for p in merges)
+    for p in merges[1:]:
+        assert p.count("Exchange") == 1 and "hashpartitioning(_slice" in p and "_sha" not in p.split("hashpartitioning(")[1].split(")")[0]
+
+
 def test_cuckoo_filter_has_all_and_forgets():
     rng = np.random.default_rng(1)
     keys = rng.integers(-(1 << 62), 1 << 62, (5000, 2))

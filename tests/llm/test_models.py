@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -42,6 +44,38 @@ def test_quality_of_odd_tables(spark):
     assert quality.score_quality(table(spark, []), labels).count() == 0
 
 
+def test_cut_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    first, scored = quality.fit_quality(docs, labels)
+    second, _ = quality.fit_quality(docs.repartition(13, "n_chars"), labels.repartition(3))
+    assert first.cut == second.cut and np.array_equal(first.ranker.weights, second.ranker.weights)
+    # The cut, and the quantiles it is chosen from, by sorting all scores.
+    raw = {r[0]: r[1] for r in scored.collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in raw}
+    values = sorted(raw.values())
+    grid = sorted({values[max(1, math.ceil(q * len(values) / 400)) - 1] for q in range(401)})
+    good = lambda cut, of: sum(raw[i] >= cut for i, y in known.items() if y == of) / sum(y == of for y in known.values())
+    gain = [good(c, 1) - good(c, 0) for c in grid]
+    best = [c for c, g in zip(grid, gain) if g >= max(gain) - 1e-12]
+    assert first.cut == best[len(best) // 2]
+
+
+def test_fit_equals_gradient_descent():
+    """The same pairs by plain gradient steps on the logistic loss."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, quality.FEATURES))
+    y = (x[:, 0] + rng.normal(size=80) > 0).astype(int)
+    made = quality.fit_pairs(x, y, pairs=300, ridge=5.0, seed=7)
+    pick = np.random.default_rng(7)
+    phi = made.expand(x)
+    d = phi[pick.choice(np.flatnonzero(y == 1), 300)] - phi[pick.choice(np.flatnonzero(y == 0), 300)]
+    w = np.zeros(phi.shape[1])
+    for _ in range(20_000):
+        w -= 0.002 * (5.0 * w - d.T @ (1 / (1 + np.exp(d @ w))))
+    assert np.allclose(w, made.weights, atol=1e-3)
+
+
 def test_pairs_order_documents():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, quality.FEATURES))
@@ -71,6 +105,43 @@ def test_text_at_the_cut_is_kept_and_predicted(spark):
 
 
 
+def naive_spots(text, anchors, chain=2):
+    """Spots as tuples of words."""
+    tokens = re.sub(r"[!-/:-@\[-`{-~]", " ", (text or "")).translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    tokens = [w for w in re.split("[\x20\x09-\x0D]+", tokens) if w]
+    if not tokens:
+        return {("", text)} if text else set()
+    found = set()
+    for i, w in enumerate(tokens):
+        content = [x for x in tokens[i + 1 :] if x not in anchors][:chain]
+        if w in anchors and len(content) == chain:
+            found.add((w, *content))
+    return found or {tuple(tokens[i : i + chain + 1]) for i in range(len(tokens))}
+
+
+def test_fingerprints_equal_naive_spots(spark):
+    rows = [(i, t) for i, t in corpus(80)] + [(900, "..."), (901, "The, THE the; a"), (902, "w1 a"), (903, "w1 A!")]
+    docs = table(spark, rows)
+    anchors = {w.decode() for w in spots.common_words(docs)}
+    got = {r["doc_id"]: r for r in spots.fingerprint_edits(docs).collect()}
+    sets = {i: naive_spots(t, anchors) for i, t in rows}
+    like = lambda x, y: len(x & y) / len(x | y) if x and y else float(not x and not y)
+    ids = [i for i, _ in rows]
+    for at, (i, text) in enumerate(rows):
+        text, following = text or "", rows[(at + 1) % len(rows)][1] or ""
+        changed = naive_spots(text[: len(text) - len(text) // 4] + following[: len(text) // 4], anchors)
+        assert math.isclose(got[i]["near_edited"], like(sets[i], changed)) and math.isclose(got[i]["near_next"], like(sets[i], sets[ids[(at + 1) % len(ids)]]))
+        assert len(got[i]["fingerprint"]) == 8 * len(sets[i])
+    for i in ids:
+        for j in ids:
+            assert (got[i]["fingerprint"] == got[j]["fingerprint"]) == (sets[i] == sets[j])
+
+
+def test_fingerprints_need_numbers(spark):
+    with pytest.raises(ValueError):
+        spots.fingerprint_edits(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("repeat", [False, True])
 def test_fingerprints_of_edits(spark, repeat):
     rows = [(i, t) for i, t in corpus(60) if i != 9] + ([(20, "the same"), (20, "the same")] if repeat else [])

@@ -1,6 +1,9 @@
 """Mixing, packing, chat and revisits."""
 
+import hashlib
 import math
+import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -60,11 +63,107 @@ def test_mixture_of_all_documents(spark):
     assert mixing.mix_sources(docs.limit(0), repeats=2.0).count() == 0
 
 
-def test_word_count(spark):
-    texts = [None, "", " \t", "a", " a  b\x0bc\n", "ä b c"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    got = [r[0] for r in df.orderBy("i").select(mixing.word_count(df["text"])).collect()]
-    assert got == [len((t or "").encode().split()) + 1 for t in texts]
+def brute_exponent(sizes, entropy=None, repeats=None):
+    """The exponent by a search of its own: golden cuts of the distance from the target, or the closed form of the limit."""
+    total = sum(sizes.values())
+
+    def weights(a):
+        w = {s: (n / total) ** a for s, n in sizes.items()}
+        return {s: x / sum(w.values()) for s, x in w.items()}
+
+    if repeats is not None:
+        # A source's epochs are weight * budget / size, and the budget is max(size / weight): in all (largest / smallest) ** (1 - a).
+        spread = math.log(max(sizes.values()) / min(sizes.values()))
+        return weights, max(0.0, 1 - math.log(repeats) / spread)
+    low, high = 0.0, 8.0
+    off = lambda a: abs(-sum(x * math.log(x) for x in weights(a).values()) / math.log(len(sizes)) - entropy)
+    while high - low > 1e-12:
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if off(a) < off(b) else (a, high)
+    return weights, (low + high) / 2
+
+
+@pytest.mark.parametrize("how", [{"repeats": 2.0}, {"repeats": 1.2}, {"entropy": 0.95}, {"entropy": 0.7}])
+def test_temperature_equals_brute_force(spark, how):
+    docs, rows = sources(spark)
+    sizes = sizes_of(rows)
+    weights, a = brute_exponent(sizes, **how)
+    w = weights(a)
+    budget = max(sizes[s] / w[s] for s in sizes)
+    got = mixing.mix_sources(docs, block_rows=10, **how).toPandas()
+    assert math.isclose(got["exponent"].iloc[0], a, abs_tol=1e-5)
+    for s in sizes:
+        own = got[got.source == s]
+        assert math.isclose(own["weight"].iloc[0], w[s], rel_tol=1e-4)
+        assert abs(own.n_tokens.sum() - w[s] * budget) < 14
+
+
+def test_mixture_of_repeated_and_missing_ids(spark):
+    rows = [(1, "a b"), (1, "c d"), (1, "c d"), (None, "e f"), (None, "g h"), (None, None), (2, "i j")]
+    docs = spark.createDataFrame([(i, t, "one", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string, epoch long")
+    got = mixing.mixed_documents(docs, repeats=2.0)
+    assert got.columns == docs.columns
+    assert sorted(r["epoch"] for r in got.collect()) == list(range(len(rows)))
+    more = docs.unionByName(spark.createDataFrame([(i + 10, "x " * 40, "two", 100 + i) for i in range(5)], docs.schema))
+    taken = Counter(r["epoch"] for r in mixing.mixed_documents(more, repeats=2.0).collect())
+    # The small source is read twice: the budget of one source ends with the last whole document.
+    assert set(taken) == {*range(len(rows)), *range(100, 105)} and max(taken.values()) <= 2 and all(taken[i] == 2 for i in range(len(rows) - 1)) or sum(taken[i] for i in range(7)) >= 13
+
+
+def test_texts_are_measured(spark):
+    texts = [None, "", " \t", "a", " a  b\x0bc\n", "ä b c", "a\x1cb\u00a0c d", "long " * 100_000]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "i int, text string, _n int")
+    got = sorted((r["at"], r["_n"], r["_mark"]) for r in mixing.measured(df, "text", at=df["i"]).collect())
+    assert [n for _, n, _ in got] == [len([w for w in re.split("[\x20\x09-\x0D]+", t or "") if w]) + 1 for t in texts]
+    assert got[0][2] == got[1][2] and len({m for _, _, m in got}) == len(texts) - 1
+    assert sorted(r["_text_mark"] for r in mixing.marked(df, "text").collect()) == sorted(m for _, _, m in got)
+
+
+def naive_best_fit(sizes, lengths):
+    """The rule as it is stated, by a search of all open bins for every size."""
+    cost = lambda c: 32.0 + c + c * c / 8192.0
+    bins = []  # room, contents
+    of = []
+    for at, size in enumerate(sizes):
+        fitting = [i for i, (room, _) in enumerate(bins) if room >= size]
+        if fitting:
+            best = min(fitting, key=lambda i: (bins[i][0], i))
+        else:
+            rest = sizes[at + 1 :]
+            price = {c: cost(c) / (size + min(c - size, sum(x for x in rest if x <= c - size))) for c in lengths if c >= size}
+            bins.append([min(price, key=lambda c: (price[c], c)), []])
+            best = len(bins) - 1
+        bins[best][0] -= size
+        bins[best][1].append(size)
+        of.append(best)
+    return of, [min(c for c in lengths if c >= sum(inside)) for _, inside in bins]
+
+
+def test_best_fit_equals_the_rule():
+    rng = random.Random(2)
+    for _ in range(40):
+        lengths = tuple(sorted(rng.sample([16, 32, 50, 64, 100, 128, 200], 3)))
+        sizes = sorted((rng.randint(1, lengths[-1]) for _ in range(rng.randint(1, 120))), reverse=True)
+        assert packing.best_fit(sizes, lengths) == naive_best_fit(sizes, lengths)
+
+
+def test_packing_equals_the_rule_in_one_shard(spark):
+    rows = [r for r in corpus() if r[0] != 6]
+    lengths = (64, 128, 512)
+    sizes = sorted((min(512, n - s) for _, t in rows for n in [len((t or "").split()) + 1] for s in range(0, n, 512)), reverse=True)
+    of, capacities = naive_best_fit(sizes, lengths)
+    got = sorted(packing.pack(table(spark, rows), lengths=lengths).collect(), key=lambda r: r["bin"])
+    assert [r["capacity"] for r in got] == capacities
+    assert [sorted(r["sizes"]) for r in got] == [sorted(s for s, b in zip(sizes, of) if b == k) for k in range(len(capacities))]
+
+
+def test_packing_keeps_large_and_missing_ids(spark):
+    big = 1152921504606846977
+    rows = [(big, "a b c"), (None, "d"), (big + 2, "e f"), (None, "g " * 3000)]
+    bins = packing.pack(table(spark, rows)).collect()
+    assert sorted(i or 0 for b in bins for i in b["doc_ids"]) == [0, 0, big, big + 2]
+    named = spark.createDataFrame([("x", "a b", 1), (None, "c", 2)], "doc_id string, text string, _mark int")
+    assert sorted(str(i) for b in packing.pack(named).collect() for i in b["doc_ids"]) == ["None", "x"]
 
 
 def test_packing_holds_every_piece_once(spark):
@@ -97,7 +196,7 @@ def test_best_fit_takes_the_tightest_bin():
 def test_every_speaker_is_the_assistant_once(spark):
     turns = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo <|im_end|>"), (1, 3, "ann", None), (2, 0, "system", "alone"), (3, None, None, "é"), (1, 300, "eve", "late"), (None, 0, "ann", "x")]
     df = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, speaker string")
-    got = {(r["conv_id"], r["speaker"], r["chunk"]): r for r in chat.rotate(df).collect()}
+    got = {(r["conv_id"], r["speaker"], r["chunk"]): r for r in chat.rotate(df, chunk_turns=4).collect()}
     assert set(got) == {(1, s, c) for s in ("ann", "bob", "eve") for c in (0, 1)} | {(3, "unknown", 0), (None, "ann", 0)}
     ann = got[1, "ann", 0]
     assert ann["text"] == (
@@ -105,10 +204,44 @@ def test_every_speaker_is_the_assistant_once(spark):
     )
     assert [ann["text"][m["start"] : m["end"]] for m in ann["mask"]] == ["hi<|im_end|>", "<|im_end|>"]
     assert [got[1, "bob", 0]["text"][m["start"] : m["end"]] for m in got[1, "bob", 0]["mask"]] == ["yo < |im_end|><|im_end|>"]
-    assert got[1, "eve", 0]["mask"] == [] and got[1, "eve", 1]["n_loss_turns"] == 1
+    late = got[1, "eve", 1]
+    whole = got[1, "eve", 0]["text"] + late["text"]
+    assert got[1, "eve", 0]["mask"] == [] and late["n_loss_turns"] == 1 and late["start"] == len(got[1, "eve", 0]["text"])
+    assert [whole[m["start"] : m["end"]] for m in late["mask"]] == ["late<|im_end|>"]
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 7, 256])
+def test_chunks_are_one_rendering(spark, chunk):
+    rng = random.Random(chunk)
+    turns = [(c, rng.choice([None, 0, 1, 2, 500, 700_000]), rng.choice(["ann", "bob", "system", None]), rng.choice(["", "hi", "yo <|im_end|>", "x" * 50])) for c in (1, None) for _ in range(60)]
+    turns += [(5, None, "ann", "again")] * 40 + [(5, None, "bob", "long " * 50_000)]
+    df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, chunk int")
+    plain = lambda x: x.replace("<|", "< |")
+    want = {}
+    for conv in {c for c, *_ in turns}:
+        mine = [(t or 0, plain(r or "unknown"), plain(x)) for c, t, r, x in turns if c == conv]
+        mine.sort(key=lambda x: (*x[:2], hashlib.md5(x[2].encode()).hexdigest()))
+        for speaker in {r for _, r, _ in mine} - {"system"}:
+            text, mask = "", []
+            for _, role, said in mine:
+                text += "<|im_start|>" + ("assistant" if role == speaker else "system" if role == "system" else f"user name={role}") + "\n"
+                if role == speaker:
+                    mask.append((len(text), len(text) + len(said) + len("<|im_end|>")))
+                text += said + "<|im_end|>\n"
+            want[conv, speaker] = text, mask, len(mine)
+    got = defaultdict(list)
+    for r in chat.rotate(df, chunk_turns=chunk).collect():
+        got[r["conv_id"], r["speaker"]].append(r)
+    assert set(got) == set(want)
+    for key, rows in got.items():
+        rows.sort(key=lambda r: r["chunk"])
+        text, mask, n = want[key]
+        assert [r["n_turns"] for r in rows] == [min(chunk, n - i) for i in range(0, n, chunk)]
+        assert "".join(r["text"] for r in rows) == text and [(m["start"], m["end"]) for r in rows for m in r["mask"]] == mask
+        assert all(text.startswith(r["text"], r["start"]) and r["n_loss_turns"] == len(r["mask"]) for r in rows)
+
+
 def test_revisits_take_the_latest_earlier_response(spark):
     rows = [
         # id, url, time, kind, etag, last_modified, digest, headers
@@ -120,12 +253,20 @@ def test_revisits_take_the_latest_earlier_response(spark):
         (6, "http://a.com/x?a=1&b=2", 41, "revisit", None, None, None, {"A": "b"}),
         (7, "http://a.com/x", 50, "revisit", '"e1"', None, None, {}),
         (8, None, 50, "revisit", '"e1"', None, None, {}),
+        (9, None, 40, "response", '"e1"', None, "d9", {}),
+        (10, "http://b.com", None, "revisit", '"x"', None, None, {}),
+        (11, "http://b.com", 5, "response", '"x"', None, "d11", {"Date": "1", "date": "2", "DATE": "0", "Age": "3"}),
+        (12, "http://b.com", 6, "revisit", '"x"', None, None, {"AGE": "4", "age": "5", "Te": "6", "te": "7"}),
+        (13, "http://c.com", None, "response", '"y"', None, "d13", None),
+        (14, "http://c.com", 1, "revisit", '"y"', None, None, None),
     ]
     df = spark.createDataFrame([(*r, 1) for r in rows], "record_id long, url string, captured_at long, kind string, etag string, last_modified string, payload_digest string, headers map<string,string>, outcome int")
     for slots in (1, 4, 256):
         got = {r["record_id"]: r for r in revisits.resolve_revisits(df, slots).collect()}
         assert {i: (r["outcome"], r["target_id"]) for i, r in got.items()} == {
             2: ("resolved", 1), 4: ("validators differ", None), 5: ("resolved", 3), 6: ("validators differ", None), 7: ("no earlier response", None), 8: ("no earlier response", None),
+            10: ("no earlier response", None), 12: ("resolved", 11), 14: ("resolved", 13),
         }
+        assert got[12]["headers"] == {"date": "2", "age": "5"} and got[14]["headers"] == {}
         assert got[2]["headers"] == {"content-length": "5", "date": "2", "x": "y"} and got[2]["payload_digest"] == "d1"
     assert revisits.resolve_revisits(df.limit(0)).count() == 0
