@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 # Scope types with the scopes that contain them.
@@ -47,6 +48,11 @@ def _event(scopes: str, fields: str, private: str = "") -> EventType:
     return EventType(tuple(scopes.split()), made, frozenset(private.split()))
 
 
+def _flag(name: str) -> tuple[str, EventType]:
+    """Something that a session was seen to do, and how often."""
+    return name, _event("Session", "count")
+
+
 # The seed events.
 EVENTS = {
     "tcp.retransmission_burst": _event("Session Vlan", "segment_size vlan=scope:Vlan path=scopes dst_ip src_ip", "dst_ip src_ip"),
@@ -62,6 +68,111 @@ EVENTS = {
     "port.admin_state": _event("Port", "state=string"),
     "port.oper_state": _event("Port", "state=string"),
 }
+# Summaries of sessions and protocols.
+EVENTS |= {
+    "tcp.session_summary": _event("Session", """loss_rate_pm burst_count loss_type rto_ratio_pm rtt_mean_ms rtt_p95_ms rtt_inflation_centi cwnd_rwin_ratio_centi rwin_median
+        cwnd_median bdp_gap bufferbloat buffer_mean_ratio_centi throughput_mean_kbps zero_window_events acked_unseen_count checksum_bad_count completeness
+        sack_scoreboard_retrans tail_loss_probe_events rst_count fast_retransmissions rto_count duration_ms total_bytes lost_packets packet_count session_is_ipv6"""),
+    "radius.summary": _event("Global", "reject_rate_pm access_request retransmissions latency_median_ms"),
+    "diameter.summary": _event("Global", "dwr_dwa_gap result_errors_total cer cea malformed session_term_gap"),
+    "gtp.summary": _event("Global", "echo_request echo_response create_session_failure_rate_pm create_session_req user_only delete_session_req delete_session_resp modify_session_req modify_session_resp"),
+    "dhcp.summary": _event("Global", "nak_rate_pm nak discover_without_offer lease_latency_median_ms"),
+}
+# Flags of sessions.
+EVENTS |= dict(map(_flag, """icmp.unreach icmp.ttl_exceeded icmp.redirect icmp.tcp_mss icmp.tcp_blackhole arp.storm arp.dup_ip ndp.rs_only dhcp.ether_issue dhcp.dns_mismatch
+    dhcpv6.ether_issue dns.onboard_anomaly dns.tls_name_mismatch tls.slow_handshake tls.alerts http.redirect_burst http.errors quic.tcp_coexist dot1x.wired stp.tcn stp.tcp_burst
+    igmp.mld_heavy zeroconf.udp_burst vlan.qinq ntp.udp_heavy lldp.seen tunnel.icmp_mtu""".split()))
+# Frames, outcomes and summaries of radio.
+EVENTS |= {
+    "wifi.mgmt.beacon": _event("AccessPoint", "channel rssi_dbm dtim_period has_rsn"),
+    "wifi.mgmt.probe_req": _event("ClientMac", "freq_mhz"),
+    "wifi.mgmt.probe_resp": _event("AccessPoint", "rssi_dbm"),
+    "wifi.mgmt.auth": _event("ClientMac", "bssid seq status algorithm", "bssid"),
+    "wifi.mgmt.assoc_req": _event("ClientMac", "bssid ft_pmkid_hint", "bssid"),
+    "wifi.mgmt.assoc_resp": _event("AccessPoint", "status"),
+    "wifi.mgmt.deauth": _event("ClientMac AccessPoint", "initiator reason protected is_deauth_or_disassoc initiator_code bssid ap_target=scope:AccessPoint", "bssid"),
+    "wifi.mgmt.action": _event("AccessPoint ClientMac", "category protected initiator_code associated csa_present client_target=scope:ClientMac"),
+    "wifi.mgmt.cts": _event("AccessPoint", "nav_us"),
+    "wifi.ctrl.rts": _event("ClientMac", ""),
+    "wifi.ctrl.bar": _event("AccessPoint", ""),
+    "wifi.data.frame": _event("ClientMac", "retry protected tid rate_kbps rssi_dbm"),
+    "wifi.eapol.frame": _event("ClientMac", "frame_type"),
+    "wifi.client.auth_outcome": _event("ClientMac", "auth_failed deauth_reason"),
+    "wifi.client.eap_outcome": _event("ClientMac", "outcome_code state_code nak_method_count idle_timeout retry_count"),
+    "wifi.client.roam_outcome": _event("ClientMac", "success latency_ms reassoc status_code ft"),
+    "wifi.client.dhcp_outcome": _event("ClientMac", "pending_ms ack_seen outcome_code"),
+    "wifi.client.dhcpv6_outcome": _event("ClientMac", "pending_ms reply_seen"),
+    "wifi.client.dns_outcome": _event("ClientMac", "pending_ms response_seen latency_ms resolver_mismatch"),
+    "wifi.client.assoc_pending": _event("ClientMac", "pending_ms response_seen"),
+    "wifi.client.sae_outcome": _event("ClientMac", "sae_seen deauth_seen eap_seen"),
+    "wifi.client.twt_outcome": _event("ClientMac", "twt_rejected"),
+    "wifi.ap.summary": _event("AccessPoint", """bssid gap_us expected_interval_us missed_count jitter_centi_ratio sample_count probe_age_ms beacon_age_ms beacon_rates_hash assoc_rates_hash
+        consecutive_count max_gap_ms bar_count window_ms peer_rates_hash rates_hash ap_count has_rsn max_rate_kbps has_ht_cap streak channel_count rssi_dbm delta_db frame_count
+        retry_permille weak_security client_count target_is_dfs ssid_count dtim_period util_centipercent security_fingerprint_count active_sta_count min_sta_frames
+        ap_retry_permille client_retry_mean_permille peer_bssid_count high_co_channel_present is_6ghz has_he_cap eht_width_code has_eht_cap has_puncturing_bitmap
+        has_visible_ssid has_supported_rates collision unencrypted_traffic_leak""", "bssid"),
+    "wifi.client.summary": _event("ClientMac", """streak ps_poll_count state_code count window_ms connected snr_db rate_kbps data_frame_count absence_ms has_ul has_dl ps_beacon_streak ft
+        pmkid_count protected assoc_age_ms tid rssi_dbm neighbor_delta_db distinct_ap_count probe_count probe_5g_count probe_24g_count associated_5g failed_count ft_or_bss_tm
+        seq_delta retry client_generation_code ap_generation_code mlo_present saw_6ghz saw_psc unique_servfail_count nxdomain_count server_rst_count ap_retry_permille
+        auth_latency_ms summary_kind_code probe_count_10s deauth_count_30s disconnect_count_60s distinct_ap_count_60s emlsr_transition_count_60s band_probe_count_60s
+        band_probe_5g_count_60s band_probe_24g_count_60s psc_probe_count_120s dns_servfail_unique_count dns_nxdomain_count captive_rst_count_120s ft_failure_count_60s
+        tid_has_ul tid_has_dl saw_eapol"""),
+    "tcp.throughput_sample": _event("Session", "before_peak_kbps after_trough_kbps mean_throughput_kbps"),
+    "tcp.rtt_sample": _event("Session", "rtt_ms baseline_rtt_ms"),
+}
+
+# Causes by the scopes in which they hold.
+CAUSES = {
+    "Session": """Congestion PacketLossPath SpuriousRetransmission RadioChannelDegradation ReceiverWindowLimit SenderBufferLimit BufferbloatQueue UplinkLatencyPath SlowStartRamp
+        CaptureScopeArtifact TlsPathInterference PmtudPathIssue IcmpUnreachablePath IcmpControlPlaneNoise ArpDuplicateAddress ArpStormPressure NdpVisibilityGap StpReconvergence
+        DhcpDnsEdgeIssue DnsResolutionPath DnsTlsInconsistency TlsHandshakeSlowness HttpPolicyChain QuicCoexistence Dot1xOnboarding MulticastLanLoad ZeroconfNoise
+        VlanStackingVisibility NtpChatter LldpContextOnly IncompleteHandshakeCapture""",
+    "Session Vlan": "PmtudBlackhole TransientL2Disruption MiddleboxInterference LanL2Instability CoexistencePressure",
+    "Session Vlan ClientMac": "AddressingEdgeIssue",
+    "Port": "PhysicalCableDamage PhysicalLinkAbsent",
+    "Vlan": "AuthServerOutage",
+    "AccessPoint": "RfInterference",
+    "Global": """UpstreamOutage RadiusHighRejectSignal RadiusRetransSignal RadiusSlowAuthSignal DiameterCerNoCeaSignal DiameterWatchdogUnansweredSignal DiameterResultErrorsSignal
+        DiameterMalformedSignal DiameterSessionTermImbalanceSignal GtpCreateSessionFailuresSignal GtpEchoUnansweredSignal GtpDeleteSessionImbalanceSignal
+        GtpModifySessionImbalanceSignal GtpUserOnlySignal DhcpHighNakSignal DhcpMissingOfferSignal DhcpSlowLeaseSignal""",
+    "Global Vlan": "ControlPlaneAnomaly",
+}
+# Problems by their scopes; a report id is the name in small letters and underscores, save for those listed after.
+PROBLEMS = {
+    "Session": """XlIcmpTcpMss TcpZeroWindow TcpCaptureScopeMiddlebox TcpChecksumLink TcpIncompleteHandshake TcpLossSack TcpSpuriousReordering TcpPacketLoss TcpRadioChannel TcpRwinLimited
+        TcpBufferbloat TcpSenderBuffer TcpUplinkLatency TcpMiddlebox TcpSlowRamping L3IcmpUnreachablePath L3IcmpControlPlane L3NdpIpv6Visibility L3DnsResolution L3DnsTlsConsistency
+        L3TlsHsSlow L3HttpRedirectChain L3QuicCoexistPath L3NtpChatter L3LldpContext L3StpSpanningTree L3Dot1xWired""",
+    "Session Vlan": "L3ArpDuplicateL2 L3ArpStormSegment L3DhcpDnsEdge L3MulticastLan L3ZeroconfNoise L3VlanStackVisibility",
+    "Port": "CableDisconnected",
+    "Vlan": "SpanningTreeInstability ClientOnboardingFailure WlanRadiusOutage",
+    "Global": """DeviceUnreachable RadiusHighReject RadiusRetrans RadiusSlowAuth DiameterCerNoCea DiameterWatchdogUnanswered DiameterResultErrors DiameterMalformed
+        DiameterSessionTermImbalance GtpCreateSessionFailures GtpEchoUnanswered GtpDeleteSessionImbalance GtpModifySessionImbalance GtpUserOnly DhcpHighNak DhcpMissingOffer DhcpSlowLease""",
+    " ".join(ANCESTORS): "AmbiguousDiagnosis",
+}
+REPORT_IDS = {
+    "XlIcmpTcpMss": "l3_pmtud_blackhole", "CableDisconnected": "ap_port_cable_disconnected", "SpanningTreeInstability": "l3_stp_spanning_tree", "ClientOnboardingFailure": "l3_dot1x_wired",
+    "WlanRadiusOutage": "ap_wlan_radius_outage", "DeviceUnreachable": "ap_device_unreachable", "AmbiguousDiagnosis": "ap_ambiguous",
+}
+# Problems of radio; each has a cause of its own, the name with Signal.
+RADIO_PROBLEMS = {
+    "AccessPoint": """WifiApBeaconLoss WifiApMalformedBeacon WifiApBeaconJitter WifiApRadioHang WifiApAssocRateMismatch WifiApRtsFlood WifiApUnprotectedAction WifiApCsa WifiApRateMismatch
+        WifiApHighCoChannel WifiApUnencryptedLeak WifiApMissingHtCap WifiApTimStuck WifiApDuplicateBssid WifiApLowBeaconRssi WifiApProbePowerMismatch WifiApExcessiveRetries
+        WifiApBarFlood WifiApLargeNavCts WifiApPmfDeauth WifiApWeakSecurity WifiApDfsEvent WifiApOverlappingBss WifiApSuboptimalDtim WifiApQbssOverload WifiApRogueCandidate
+        WifiApCollisionStress WifiApNonWifiInterference WifiApDeauthFlood WifiApMissingHeCap WifiApWidth320WithoutEht WifiApPuncturingMismatch""",
+    "ClientMac": """WifiClientHighRetries WifiClientSleepPattern WifiClientExcessiveProbing WifiClientFailedPskAuth WifiClientEapAuthFailure WifiClientEapMethodMismatch
+        WifiClientRoamingFailure WifiClientSlowRoaming WifiClientUnprotectedAction WifiClientRateSnrMismatch WifiClientOneWayTraffic WifiClientDeauthLoop
+        WifiClientPowerSaveStuck WifiClientInvalidPmkid WifiClientNullPmkidFt WifiClientSlowAuth WifiClientEncryptedBeforeM4 WifiClientPerTidAsymmetry
+        WifiClientSaeDeauthNoEap WifiClientSentDeauth WifiClientSticky WifiClientAssocTimeout WifiClientFrequentDisconnects WifiClientBandSteeringResistance
+        WifiClientUplinkAsymmetry WifiClientFtKvCompat WifiClientMacSpoofSuspected WifiClientGenerationMismatch WifiClientEmlsrChurn WifiClientNoPscScan
+        WifiClientEapRadiusTimeout WifiClientEapAccessReject WifiClientEapTlsCert WifiClientDhcpTimeout WifiClientDhcpNak WifiClientDhcpDnsMismatch WifiClientDhcpv6Timeout
+        WifiClientDnsTimeout WifiClientDnsSlow WifiClientDnsServfail WifiClientCaptivePortal""",
+    "Session": """WifiXlayerRoamingStall WifiXlayerRetriesLoss WifiXlayerRateThroughputDrop WifiXlayerSleepRto WifiXlayerDeauthDisconnect WifiXlayerCsaGap WifiXlayerL3HintTcp
+        WifiXlayerBssColorLoss WifiXlayerTwtRto WifiXlayerCsaThroughputDrop""",
+}
+
+
+def report_id(problem: str) -> str:
+    return REPORT_IDS.get(problem) or re.sub("(?<!^)(?=[A-Z])", "_", problem).lower()
 
 
 @dataclass(frozen=True)
@@ -79,17 +190,10 @@ class Catalog:
         return {f for e in self.events.values() for f in e.private}
 
 
+def _by_name(table: dict[str, str], suffix: str = "") -> dict[str, tuple[str, ...]]:
+    return {name + suffix: tuple(scopes.split()) for scopes, names in table.items() for name in names.split()}
+
+
 def seed() -> Catalog:
-    anywhere = tuple(ANCESTORS)
-    causes = (
-        "AuthServerOutage", "Congestion", "PmtudBlackhole", "TransientL2Disruption", "PhysicalCableDamage", "PhysicalLinkAbsent", "RfInterference",
-        "RadioChannelDegradation", "PacketLossPath", "BufferbloatQueue", "MiddleboxInterference", "SpuriousRetransmission", "PmtudPathIssue",
-    )
-    problems = {
-        "AmbiguousDiagnosis": ProblemType(anywhere, "Medium", "ap_ambiguous"),
-        "XlIcmpTcpMss": ProblemType(anywhere, "High", "l3_pmtud_blackhole"),
-        "ClientOnboardingFailure": ProblemType(anywhere, "High", "l3_dot1x_wired"),
-        "WlanRadiusOutage": ProblemType(anywhere, "Critical", "ap_wlan_radius_outage"),
-        "DeviceUnreachable": ProblemType(anywhere),
-    }
-    return Catalog(causes={c: anywhere for c in causes}, problems=problems)
+    problems = {name: ProblemType(scopes, sarif_id=report_id(name)) for name, scopes in (_by_name(PROBLEMS) | _by_name(RADIO_PROBLEMS)).items()}
+    return Catalog(causes=_by_name(CAUSES) | _by_name(RADIO_PROBLEMS, "Signal"), problems=problems)

@@ -10,7 +10,7 @@ JUMPS = 16
 
 
 def dns_name(root: bytes, offset: int) -> tuple[str | None, int, str]:
-    """Name, bytes that it takes on the wire at offset, and ok or what is wrong."""
+    """Name, bytes that it takes on the wire at offset, and ok or what is wrong.  A label may have up to 191 bytes."""
     labels, at, wire, jumps, seen = [], offset, None, 0, set()
     while True:
         if at >= len(root) or at < 0:
@@ -29,8 +29,6 @@ def dns_name(root: bytes, offset: int) -> tuple[str | None, int, str]:
             seen.add(target)
             at = target
             continue
-        if size & 0xC0:
-            return None, 0, "malformed"
         if at + 1 + size > len(root):
             return None, 0, "truncated"
         labels.append(root[at + 1 : at + 1 + size].decode("utf-8", "replace"))

@@ -1,4 +1,8 @@
-"""Wire arithmetic on unsigned 64-bit values, kept as DECIMAL(20,0) so that no value loses its top bit."""
+"""Wire arithmetic on unsigned 64-bit values, which travel as the same 64 bits in a BIGINT.
+
+number() reads such bits out as DECIMAL(20,0), and raw() takes a decimal in.  Sums and products are put together from halves, as
+BIGINT arithmetic refuses to wrap; only division by or of values with the top bit set goes through decimals.
+"""
 
 from __future__ import annotations
 
@@ -7,72 +11,118 @@ from pyspark.sql import functions as F
 
 KIND = "decimal(20,0)"
 RANGE = "18446744073709551616"
+LEAST, ONES = -(1 << 63), (1 << 32) - 1
+
+
+def literal(value: int) -> Column:
+    value %= 1 << 64
+    return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
+
+
+def raw(c: Column) -> Column:
+    """The bits of a decimal."""
+    top = F.lit(str(1 << 63)).cast(KIND)
+    return F.when(c >= top, (c.cast("decimal(38,0)") - F.lit(RANGE).cast("decimal(38,0)")).cast("long")).otherwise(F.when(c < top, c).cast("long"))
+
+
+def number(c: Column) -> Column:
+    """Bits as a decimal."""
+    value = c.cast(KIND)
+    return F.when(c < 0, (value + F.lit(RANGE).cast(KIND)).cast(KIND)).otherwise(value)
+
+
+def _shift(name: str, c: Column, by: int | Column) -> Column:
+    return F.call_function(name, c, F.lit(by) if isinstance(by, int) else by)
+
+
+def _low(c: Column) -> Column:
+    return c.bitwiseAND(F.lit(ONES))
 
 
-def _wide(c: Column) -> Column:
-    return c.cast("decimal(38,0)")
+def _high(c: Column) -> Column:
+    return _shift("shiftrightunsigned", c, 32)
 
 
-def wrapped(c: Column) -> Column:
-    """Modulo 2**64."""
-    return F.pmod(_wide(c), F.lit(RANGE).cast("decimal(38,0)")).cast(KIND)
+def _joined(high: Column, low: Column) -> Column:
+    return _shift("shiftleft", high, 32).bitwiseOR(_low(low))
 
 
-def signed(c: Column) -> Column:
-    """The same bits as BIGINT."""
-    return F.when(c >= F.lit("9223372036854775808").cast(KIND), (_wide(c) - F.lit(RANGE).cast("decimal(38,0)")).cast("long")).otherwise(
-        F.when(c < F.lit("9223372036854775808").cast(KIND), c).cast("long")
-    )
+def _plus(x: Column, y: Column) -> Column:
+    low = _low(x) + _low(y)
+    return _joined(_high(x) + _high(y) + _high(low), low)
+
+
+def _minus(x: Column, y: Column) -> Column:
+    low = _low(x) - _low(y)
+    return _joined(_high(x) - _high(y) + _shift("shiftright", low, 32), low)
+
+
+def _times(x: Column, y: Column) -> Column:
+    """Of four products of halves two count only by their low half; factors of 16 bits keep each product below 2**63."""
+    below = lambda a: a.bitwiseAND(F.lit(0xFFFF))
+    above = lambda a: _shift("shiftrightunsigned", a, 16)
+    half = lambda a, b: _shift("shiftleft", below(above(a) * b), 16) + below(a) * b
+    xl, xh, yl, yh = _low(x), _high(x), _low(y), _high(y)
+    whole = _plus(_shift("shiftleft", above(xl) * yl, 16), below(xl) * yl)
+    return _plus(whole, _shift("shiftleft", _low(half(xh, yl) + half(xl, yh)), 32))
+
+
+def _divided(x: Column, y: Column, remainder: bool) -> Column:
+    safe = F.when(y == 0, F.lit(1).cast("long")).otherwise(y)
+    a, b = number(x).cast("decimal(38,0)"), number(safe).cast("decimal(38,0)")
+    rest = F.pmod(a, b)
+    # Decimal division rounds, so only multiples are divided.
+    large = rest if remainder else F.round((a - rest) / b, 0)
+    small = x % safe if remainder else F.call_function("div", x, safe)
+    return F.when(y == 0, F.lit(0).cast("long")).when(x.bitwiseOR(y) >= 0, small).otherwise(raw(large.cast(KIND)))
+
+
+def below(x: Column, y: Column) -> Column:
+    flip = lambda c: c.bitwiseXOR(F.lit(LEAST))
+    return flip(x) < flip(y)
 
 
 def binary(op: str, a: Column, b: Column) -> Column:
     """Subtraction stops at 0, division by 0 gives 0, sums and products wrap, comparisons give 0 or 1."""
-    x, y = a.cast(KIND), b.cast(KIND)
-    truth = lambda c: F.when(c, 1).otherwise(0).cast(KIND)
-    if op == "+":
-        return wrapped(_wide(x) + _wide(y))
+    x, y = a.cast("long"), b.cast("long")
     if op == "-":
-        return F.greatest(_wide(x) - _wide(y), F.lit(0).cast("decimal(38,0)")).cast(KIND)
-    if op == "*":
-        # x in halves of 32 bits, so that no product leaves 38 digits.  Decimal division rounds, so only multiples are divided.
-        half = F.lit(1 << 32).cast("decimal(11,0)")
-        low = F.pmod(x, half).cast("decimal(10,0)")
-        high = ((_wide(x) - low) / half).cast("decimal(10,0)")
-        upper = F.pmod((high * F.pmod(y, half).cast("decimal(10,0)")).cast("decimal(21,0)"), half).cast("decimal(10,0)")
-        return wrapped((upper * half).cast("decimal(38,0)") + (low * y).cast("decimal(38,0)"))
+        return F.when(below(x, y), F.lit(0).cast("long")).otherwise(_minus(x, y))
     if op in ("/", "%"):
-        safe = F.when(y == 0, F.lit(1).cast(KIND)).otherwise(y)
-        value = F.pmod(x, safe) if op == "%" else ((_wide(x) - F.pmod(_wide(x), _wide(safe))) / _wide(safe))
-        return F.when(y == 0, F.lit(0).cast(KIND)).otherwise(F.round(value, 0).cast(KIND))
-    if op in ("==", "!=", "<", "<=", ">", ">="):
-        return truth({"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op])
-    if op in ("and", "or"):
-        return truth((x != 0) & (y != 0) if op == "and" else (x != 0) | (y != 0))
-    p, q = signed(x), signed(y)
+        return _divided(x, y, op == "%")
+    if op in ("+", "*"):
+        return _plus(x, y) if op == "+" else _times(x, y)
     if op in ("<<", ">>"):
-        by = (q % 64).cast("int")
-        moved = F.call_function("shiftleft" if op == "<<" else "shiftrightunsigned", p, by)
-        return wrapped(moved)
-    return wrapped({"&": p.bitwiseAND(q), "|": p.bitwiseOR(q), "^": p.bitwiseXOR(q)}[op])
+        return _shift("shiftleft" if op == "<<" else "shiftrightunsigned", x, y.bitwiseAND(F.lit(63)).cast("int"))
+    if op in ("&", "|", "^"):
+        return {"&": x.bitwiseAND, "|": x.bitwiseOR, "^": x.bitwiseXOR}[op](y)
+    true = {
+        "==": lambda: x == y, "!=": lambda: x != y, "<": lambda: below(x, y), "<=": lambda: ~below(y, x), ">": lambda: below(y, x), ">=": lambda: ~below(x, y),
+        "and": lambda: (x != 0) & (y != 0), "or": lambda: (x != 0) | (y != 0),
+    }[op]()
+    return F.when(true, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def unary(op: str, a: Column) -> Column:
-    x = a.cast(KIND)
+    x = a.cast("long")
     if op == "not":
-        return F.when(x == 0, 1).otherwise(0).cast(KIND)
-    return wrapped(F.bitwise_not(signed(x))) if op == "inv" else wrapped(-_wide(x))
+        return F.when(x == 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.bitwise_not(x) if op == "inv" else _minus(F.lit(0).cast("long"), x)
+
+
+def of_bytes(c: Column) -> Column:
+    """Up to 8 bytes, the most significant first."""
+    return F.conv(F.hex(c), 16, -10).cast("long")
 
 
 def big_endian(buffer: Column, at: Column | int, size: int) -> Column:
     """size bytes (up to 8) at a 0-based offset as a number."""
     at = F.lit(at) if isinstance(at, int) else at
-    return F.conv(F.hex(F.substring(buffer, at + 1, F.lit(size))), 16, 10).cast(KIND)
+    return of_bytes(F.substring(buffer, at + 1, F.lit(size)))
 
 
 def little_endian(buffer: Column, at: Column | int, size: int) -> Column:
     at = F.lit(at) if isinstance(at, int) else at
-    parts = [F.hex(F.substring(buffer, at + 1 + i, F.lit(1))) for i in reversed(range(size))]
-    return F.conv(F.concat(*parts), 16, 10).cast(KIND)
+    return of_bytes(F.concat(*[F.substring(buffer, at + 1 + i, F.lit(1)) for i in reversed(range(size))]))
 
 
 def bits(buffer: Column, first: int, count: int) -> Column:
@@ -81,5 +131,5 @@ def bits(buffer: Column, first: int, count: int) -> Column:
     value = big_endian(buffer, start, end - start)
     drop = end * 8 - first - count
     if drop:
-        value = binary(">>", value, F.lit(drop))
-    return value if count == 64 else binary("&", value, F.lit((1 << count) - 1))
+        value = _shift("shiftrightunsigned", value, drop)
+    return value if count == 64 else value.bitwiseAND(F.lit((1 << count) - 1))

@@ -162,15 +162,36 @@ class Reassembler:
         del self.data[: max(0, len(self.data) - keep)]
 
 
-def contiguous(segments: DataFrame, key: list[str], start: str, number: str, data: str) -> DataFrame:
+def contiguous(segments: DataFrame, key: list[str], start: str, number: str, data: str, limit: int = SEGMENT_LIMIT) -> DataFrame:
     """The bytes of each flow up to the first gap: key, n_segments, payload.
 
-    One segment of a number stays (the longest); a segment belongs while all before it end where it begins.
+    One segment of a number stays (the longest, of equals the greater in bytes).  In their order a segment belongs where it begins at the end of those
+    before it, is passed over where it begins earlier, and ends the run where it begins later or would make the payload
+    longer than limit.  Numbers are those of one turn of the counter (see unwrapped).  A flow gathers the numbers and lengths of at most
+    limit segments, and then the payload.
     """
-    longest = segments.groupBy(*key, number).agg(F.max_by(data, F.octet_length(data)).alias(data), F.min(start).alias("_start"))
-    w = Window.partitionBy(*key).orderBy(number)
-    sofar = F.coalesce(F.sum(F.octet_length(data)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = longest.withColumn("_fits", F.col("_start") + sofar == F.col(number))
-    rows = rows.withColumn("_ok", F.min(F.col("_fits").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_ok = 1")
-    parts = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(number, data))).alias("_p"))
+    near = segments.where((F.col(number) >= F.col(start)) & (F.col(number) - F.col(start) <= limit))
+    longest = near.groupBy(*key, number).agg(F.max_by(data, F.struct(F.octet_length(data), data)).alias(data), F.min(start).alias("_start"))
+    sizes = longest.groupBy(*key).agg(
+        F.min("_start").cast("long").alias("_start"), F.array_sort(F.collect_list(F.struct(F.col(number).cast("long").alias("at"), F.octet_length(data).cast("long").alias("size")))).alias("_p")
+    )
+    over = lambda a, p: (p["at"] > a["next"]) | ((p["at"] == a["next"]) & (a["next"] + p["size"] - F.col("_start") > limit))
+    walked = F.aggregate(
+        "_p",
+        F.struct(F.col("_start").alias("next"), F.lit(False).alias("done"), F.array().cast("array<bigint>").alias("kept")),
+        lambda a, p: F.when(a["done"] | (p["at"] < a["next"]), a)
+        .when(over(a, p), F.struct(a["next"].alias("next"), F.lit(True).alias("done"), a["kept"].alias("kept")))
+        .otherwise(F.struct((a["next"] + p["size"]).alias("next"), F.lit(False).alias("done"), F.concat(a["kept"], F.array(p["at"])).alias("kept"))),
+    )
+    kept = sizes.select(*[F.col(k).alias(f"_{k}") for k in key], F.explode(walked["kept"]).alias("_at"))
+    on = F.col(number) == F.col("_at")
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    parts = longest.join(kept, on).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(number, data))).alias("_p"))
     return parts.select(*key, F.size("_p").cast("long").alias("n_segments"), F.unhex(F.array_join(F.transform("_p", lambda p: F.hex(p[data])), "")).alias("payload"))
+
+
+def unwrapped(number: Column, start: Column) -> Column:
+    """A 32-bit number as one that goes on rising past 2**32, counted from the start of its flow: up to 2**31 ahead of it."""
+    ahead = F.pmod(number - start, F.lit(1 << 32))
+    return start + F.when(ahead < 1 << 31, ahead).otherwise(ahead - (1 << 32))

@@ -2,7 +2,10 @@
 
 Each rule is one branch of the plan.  Results are those of the ordered layer where the input is in time order and no
 limit is reached; a rule's work counts as done at the end of its window (exec_ms), the order of inferences is
-(exec_ms, place of the rule, event_id).  Roll-up, ambiguity over time and chains of problems belong to the ordered layer.
+(exec_ms, place of the rule, event_id).  Decisions follow causes, and problems of other decisions, in all their branches.
+
+Roll-up, ambiguity over time and what looks back at causes or problems (correlates with them, and with them the action
+suppress_symptom) belong to the ordered layer; rules that do so are refused here, with the name of the rule.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from ..catalog import Catalog
 from ..functions import checked
 from ..operators import evidence
 from ..operators.correlate import bind
-from .rule_text import Limits, Rule, Ruleset, check
+from .rule_text import WARNINGS, Limits, Rule, Ruleset, check
 
 EVENT = ["event_id", "event_type", "time_ms", "scope_type", "scope_key", "target", "fields", "strings", "scopes"]
 
@@ -89,8 +92,10 @@ def compile_rules(rules: Ruleset, events: DataFrame, catalog: Catalog, limits: L
     events: EVENT columns (target struct<scope_type,key>, maps fields, strings, scopes).  relate(pairs, function, a, b) adds
     _true; without it relations hold between equal scopes and are unknown between others.
     """
-    if wrong := check(rules, catalog, limits):
+    if wrong := [x for x in check(rules, catalog, limits) if x[0] not in WARNINGS]:
         raise ValueError(f"{wrong}")
+    if cannot := refused(rules):
+        raise ValueError(f"the ordered layer is to run {cannot}")
     relate = relate or (lambda pairs, f, a, b: pairs.withColumn("_true", F.when(a == b, True)))
     parts: dict[str, list[DataFrame]] = {"infer": [], "action": [], "emit": []}
     for place, rule in enumerate(rules.rules):
@@ -123,23 +128,72 @@ def compile_rules(rules: Ruleset, events: DataFrame, catalog: Catalog, limits: L
     runs = evidence.clamped_sums(infers, keys, order, "weight", max(limits.max_lookback, 86_400_000))
     causes = runs.groupBy(*keys).agg(F.max_by("confidence", F.struct(*order)).alias("confidence"), F.min_by("time_ms", F.struct(*order)).alias("first_ms"))
 
-    problems = []
-    for place, rule in enumerate(rules.rules):
-        if not rule.decision or rule.source != "Cause":
-            continue
-        at = runs.where((F.col("kind") == rule.kind) & (F.col("scope_type") == rule.scope))
-        hit = expression(rule.where, lambda n: F.col(n.partition(".")[2]), None).holds() if rule.where else F.lit(True)
-        for i in rule.body:
+    emitted, waiting = {}, [(place, rule) for place, rule in enumerate(rules.rules) if rule.decision]
+    while waiting:
+        # Checks leave no cycle, so some rule waits for no other.
+        place, rule = next((p, r) for p, r in waiting if r.source == "Cause" or not any(i.verb == "emit" and i.kind == r.kind for _, o in waiting for i in _all_intents(o)))
+        waiting.remove((place, rule))
+        for verb, kind, found in _decided(rule, place, runs, emitted, catalog, limits):
+            if verb == "action":
+                parts["action"].append(found)
+            else:
+                emitted.setdefault(kind, []).append(found)
+    problems = [f for found in emitted.values() for f in found]
+    nothing = "scope_type string, scope_key string, rule string, place int, problem string, target string, time_ms long, event_id long, severity string, sarif_id string, causes array<string>"
+    return Plan(infers, causes, reduce(DataFrame.unionByName, problems) if problems else spark.createDataFrame([], nothing), union(parts["action"]))
+
+
+def _all_intents(rule: Rule) -> list:
+    return [i for group in (rule.body, rule.then, rule.otherwise, rule.unknown) for i in group or ()]
+
+
+def refused(rules: Ruleset) -> list[str]:
+    """What a plan cannot do, by rule."""
+    found = []
+    for rule in rules.rules:
+        if rule.decision and rule.correlates or any(c.source != "event" for c in rule.correlates):
+            found.append(f"{rule.name}: correlates with causes or problems, or in a decision")
+        if rule.source == "Problem" and rule.kind == "AmbiguousDiagnosis":
+            found.append(f"{rule.name}: a decision on AmbiguousDiagnosis")
+        if any(i.verb == "action" and i.kind == "suppress_symptom" for i in _all_intents(rule)):
+            found.append(f"{rule.name}: suppress_symptom")
+    return found
+
+
+def _decided(rule: Rule, place: int, runs: DataFrame, emitted: dict[str, list[DataFrame]], catalog: Catalog, limits: Limits) -> list[tuple[str, str, DataFrame]]:
+    """(verb, kind, rows) of every intent of a decision."""
+    name = F.concat_ws(":", "scope_type", "scope_key")
+    if rule.source == "Cause":
+        rows = runs.where(F.col("kind") == rule.kind).withColumns({"_at": F.col("exec_ms"), "_causes": F.array("kind")})
+    elif rule.kind in emitted:
+        rows = reduce(DataFrame.unionByName, emitted[rule.kind]).withColumns({"_at": F.col("time_ms"), "_causes": F.array("problem"), "confidence": F.lit(None).cast("int")})
+    else:
+        return []
+    rows = rows.where(F.col("scope_type") == rule.scope)
+    own = lambda n: {"": F.col("target"), "target": F.col("target"), "time": F.col("time_ms")}.get(n.partition(".")[2], F.col("confidence"))
+    if rule.where is not None:
+        rows = rows.where(expression(rule.where, own, None).holds())
+    groups = [(F.lit(True), rule.body)]
+    if rule.condition is not None:
+        true = expression(rule.condition, own, None)
+        groups = [(~true.error & true.value, rule.then), (~true.error & ~true.value, rule.otherwise), (~true.error & true.value.isNull(), rule.unknown)]
+    cooldown = limits.dedup_window if limits.cooldown is None else limits.cooldown
+    out = []
+    for when, intents in groups:
+        for i in intents:
+            target = F.col("target") if i.target else name
+            some = rows.where(F.coalesce(when, F.lit(False)))
             if i.verb == "emit":
                 known = catalog.problems[i.kind]
-                own = F.col("target") if i.target else F.concat_ws(":", "scope_type", "scope_key")
-                problems.append(
-                    at.where(hit).select(
-                        "scope_type", "scope_key", F.lit(rule.name).alias("rule"), F.lit(i.kind).alias("problem"), own.alias("target"), F.col("exec_ms").alias("time_ms"), "event_id",
-                        F.lit(i.severity or known.severity).alias("severity"), F.lit(i.sarif_id or known.sarif_id).alias("sarif_id"), F.array("kind").alias("causes"),
-                    )
+                some = some.select(
+                    "scope_type", "scope_key", F.lit(rule.name).alias("rule"), F.lit(place).alias("place"), F.lit(i.kind).alias("problem"), target.alias("target"), F.col("_at").alias("time_ms"), "event_id",
+                    F.lit(i.severity or known.severity).alias("severity"), F.lit(i.sarif_id or known.sarif_id).alias("sarif_id"), F.col("_causes").alias("causes"),
                 )
-    cooldown = limits.dedup_window if limits.cooldown is None else limits.cooldown
-    found = reduce(DataFrame.unionByName, problems) if problems else None
-    kept = evidence.cooled(found, ["scope_type", "scope_key", "rule", "problem", "target"], cooldown) if found is not None else spark.createDataFrame([], "problem string")
-    return Plan(infers, causes, kept, union(parts["action"]))
+                out.append(("emit", i.kind, evidence.cooled(some, ["scope_type", "scope_key", "rule", "problem", "target"], cooldown)))
+            else:
+                some = some.select(
+                    F.lit(rule.name).alias("rule"), F.lit(place).alias("place"), F.lit(i.kind).alias("kind"), "event_id", "time_ms", F.col("_at").alias("exec_ms"), "scope_type", "scope_key",
+                    target.alias("target"), F.lit(i.weight).cast("int").alias("weight"), F.lit(i.argument).cast("string").alias("argument"), F.array().cast("array<bigint>").alias("evidence"),
+                )
+                out.append(("action", i.kind, some))
+    return out

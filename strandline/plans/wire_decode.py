@@ -302,21 +302,25 @@ def columns(protocol: Protocol, buffer: Column, message: str | None = None) -> d
     out: dict[str, Column] = {}
     errors: list[Column] = []
     state = {"fixed": 0, "terms": [], "bit": 0}
-    zero = F.lit(0).cast(unsigned.KIND)
+    zero, far = unsigned.literal(0), 1 << 30
+
+    def within(size: Column, most: int) -> Column:
+        """An unsigned size as an int, at most the given one."""
+        return F.when((size < 0) | (size > most), F.lit(most)).otherwise(size).cast("int")
 
     def offset() -> Column:
-        at = F.lit(state["fixed"])
+        at = F.lit(state["fixed"]).cast("long")
         for t in state["terms"]:
             at = at + t
-        return at.cast("int")
+        return within(at, far)
 
     def value(e: tuple, prefix: str) -> Column:
         op = e[0]
         if op in ("int", "ms", "bool"):
-            return F.lit(int(e[1])).cast(unsigned.KIND)
+            return unsigned.literal(int(e[1]))
         if op == "name":
             if e[1] == "__current_offset":
-                return offset().cast(unsigned.KIND)
+                return offset().cast("long")
             for name in (prefix + e[1], e[1], e[1].rpartition(".")[2]):
                 if name in out:
                     return F.coalesce(out[name], zero)
@@ -333,7 +337,7 @@ def columns(protocol: Protocol, buffer: Column, message: str | None = None) -> d
         if when is None and isinstance(size, int):
             state["fixed"] += size
         else:
-            size = F.lit(size) if isinstance(size, int) else size.cast("int")
+            size = F.lit(size) if isinstance(size, int) else within(size, far)
             state["terms"].append(F.when(when, size).otherwise(0) if when is not None else size)
 
     def visit(body: tuple, prefix: str, when: Column | None) -> None:
@@ -361,12 +365,12 @@ def columns(protocol: Protocol, buffer: Column, message: str | None = None) -> d
                         move(s.size, here)
                     elif s.kind == "rest":
                         left = F.greatest(F.octet_length(buffer) - start, F.lit(0))
-                        got = left.cast(unsigned.KIND)
+                        got = left.cast("long")
                         move(left, here)
                     elif s.kind == "bytes":
                         size = value(s.size, prefix)
-                        head = F.substring(buffer, start + 1, F.least(size, F.lit(8).cast(unsigned.KIND)).cast("int"))
-                        got = F.when(F.octet_length(head) > 0, F.conv(F.hex(head), 16, 10).cast(unsigned.KIND)).otherwise(zero)
+                        head = F.substring(buffer, start + 1, within(size, 8))
+                        got = F.when(F.octet_length(head) > 0, unsigned.of_bytes(head)).otherwise(zero)
                         move(size, here)
                     else:
                         visit(protocol.messages[s.kind], f"{prefix}{s.name}.", here)
@@ -388,6 +392,7 @@ def columns(protocol: Protocol, buffer: Column, message: str | None = None) -> d
                 raise Invalid("loops are decoded row by row")
 
     visit(protocol.messages[message or protocol.root], "", None)
+    out = {name: unsigned.number(c) for name, c in out.items()}
     out["__error"] = F.coalesce(*errors, F.lit(None).cast("string")) if errors else F.lit(None).cast("string")
     out["__complete"] = offset() <= F.octet_length(buffer)
     return out

@@ -76,7 +76,7 @@ def unsigned_arithmetic(spark, d):
     return source.tables(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", num(b("-", x, b("*", y, F.lit(10)))).alias("less"), num(b("/", x, b("%", n, F.lit(3)))).alias("quotient"), num(b("&", x, F.lit(255))).alias("low"),
         num(b("|", x, F.lit(256))).alias("high"), num(b("^", x, y)).alias("mixed"), num(b("<<", x, F.lit(3))).alias("up"), num(b(">>", x, F.lit(2))).alias("down"), num(b(">", x, y)).alias("more"),
-        b("*", unsigned.unary("inv", F.lit(0)), x + 1).cast("string").alias("wrapped"),
+        unsigned.number(b("*", unsigned.unary("inv", F.lit(0)), x + 1)).cast("string").alias("wrapped"),
     )
 
 
@@ -306,34 +306,46 @@ def collect_evidence(spark, d):
 
 RULES = """
 ruleset "shop" {
-    version = "1.0"
+    version = "3"
     requires = ["topology"]
-    mutually_exclusive(Outage, Fraud)
-    evidence failed_purchase {
+    mutually_exclusive(ClientLeft, CheckoutBroken)
+    evidence nothing_bought_near_error {
         scope: ClientMac
         anchor e: event(shop.error) { e.value_c > 1000 }
-        correlate p: event(shop.purchase) {
-            topo: same_client(e.target, p.target)
-            time: p.time in [e.time - 21600s, e.time + 43200s]
-        }
-        if present(p) {
-            infer Cause(Outage) { target: e.target, weight: +85, evidence: [e, p] }
+        correlate p: event(shop.purchase) { topo: same_client(p.target, e.target) time: p.time in [e.time - 21600s, e.time + 43200s] }
+        if absent(p) {
+            infer Cause(CheckoutBroken) { weight: +55, target: e.target, evidence: [e] }
+            action run_check(lldp_poll) { target: e.target }
         } else {
-            infer Cause(Outage) { target: e.target, weight: +35, evidence: [e] }
-            action request_observation(icmp.visibility) { target: e.target }
+            infer Cause(ClientLeft) { weight: +20, target: e.target, evidence: [p, e] }
         }
     }
-    decision outage {
+    decision page {
         scope: ClientMac
-        anchor c: Cause(Outage) { c.confidence >= 80 }
-        emit Problem(ShopDown) { severity: High, evidence: [c], sarif_id: "shop_down" }
+        anchor b: Cause(CheckoutBroken) { b.confidence > 50 }
+        emit Problem(ShopDown) { severity: Critical, evidence: [b], sarif_id: "shop_down" }
+    }
+}
+"""
+#: The same with decisions that branch, act, and follow a problem.
+DECISIONS = RULES.rstrip().rstrip("}") + """
+    decision followed {
+        scope: ClientMac
+        anchor d: Problem(ShopDown)
+        emit Problem(ShopClosed) { target: d.target, severity: Low }
+        action run_check(stp_root_check) { target: d.target }
+    }
+    decision sorted {
+        scope: ClientMac
+        anchor l: Cause(ClientLeft) { l.confidence >= 20 }
+        if l.confidence > 40 { emit Problem(ClientsLeave) { target: l.target, evidence: [l] } } else { action request_observation(aaa.telemetry) { target: l.target } }
     }
 }
 """
 CATALOG = Catalog(
     events={f"shop.{n}": EventType(("ClientMac",), {"time": "int", "target": "scope:ClientMac", "value_c": "int", "k": "int", "network": "scope:Vlan"}) for n in ("error", "purchase", "click", "signup", "view", "flush")},
-    causes={"Outage": ("ClientMac", "Vlan"), "Fraud": ("ClientMac", "Vlan")},
-    problems={"ShopDown": ProblemType(("ClientMac", "Vlan"), "Medium", "shop"), "AmbiguousDiagnosis": ProblemType(("ClientMac", "Vlan"), "Medium", "ap_ambiguous")},
+    causes={"CheckoutBroken": ("ClientMac", "Vlan"), "ClientLeft": ("ClientMac", "Vlan")},
+    problems={name: ProblemType(("ClientMac", "Vlan"), "Medium", "shop") for name in ("ShopDown", "ShopClosed", "ClientsLeave")} | {"AmbiguousDiagnosis": ProblemType(("ClientMac", "Vlan"), "Medium", "ap_ambiguous")},
 )
 LIMITS = rule_text.Limits(max_lookback=120 * HOUR, dedup_window=WINDOW, cooldown=0, causes=1 << 20, events=1 << 20, pending=1 << 20)
 
@@ -351,28 +363,46 @@ def shop_plan(spark, d) -> rule_plan.Plan:
     return rule_plan.compile_rules(rule_text.parse(RULES), rule_events(spark, d), CATALOG, LIMITS)
 
 
-_SHOP = _PAIRS + f""", raw AS (SELECT a.*, time_ms + {FORWARD} AS exec_ms, CASE WHEN event_id IN (SELECT event_id FROM m) THEN 85 ELSE 35 END AS weight FROM a),
-infers AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY user_id, time_ms // {WINDOW} ORDER BY exec_ms, event_id) = 1),
-runs AS (SELECT *, least(100, sum(weight) OVER (PARTITION BY user_id ORDER BY exec_ms, event_id)) AS confidence FROM infers)"""
+_SHOP = _PAIRS + f""", raw AS (SELECT a.*, time_ms + {FORWARD} AS exec_ms, event_id NOT IN (SELECT event_id FROM m) AS lone FROM a),
+named AS (SELECT *, CASE WHEN lone THEN 'CheckoutBroken' ELSE 'ClientLeft' END AS cause, CASE WHEN lone THEN 55 ELSE 20 END AS weight FROM raw),
+infers AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY user_id, cause, time_ms // {WINDOW} ORDER BY exec_ms, event_id) = 1),
+runs AS (SELECT *, least(100, sum(weight) OVER (PARTITION BY user_id, cause ORDER BY exec_ms, event_id)) AS confidence FROM infers),
+down AS (SELECT * FROM runs WHERE cause = 'CheckoutBroken' AND confidence > 50 QUALIFY coalesce(exec_ms > lag(exec_ms) OVER (PARTITION BY user_id ORDER BY exec_ms, event_id), true))"""
 
 
-@query(_SHOP + " SELECT user_id::VARCHAR AS client, least(100, sum(weight))::INT AS confidence, arg_min(time_ms, (exec_ms, event_id)) AS first_ms FROM infers GROUP BY user_id")
+@query(_SHOP + " SELECT user_id::VARCHAR AS client, cause, least(100, sum(weight))::INT AS confidence, arg_min(time_ms, (exec_ms, event_id)) AS first_ms FROM infers GROUP BY user_id, cause")
 def ruleset_causes(spark, d):
-    return shop_plan(spark, d).causes.select(F.col("scope_key").alias("client"), "confidence", "first_ms")
+    return shop_plan(spark, d).causes.select(F.col("scope_key").alias("client"), F.col("kind").alias("cause"), "confidence", "first_ms")
 
 
-@query(_SHOP + ", hits AS (SELECT *, lag(exec_ms) OVER (PARTITION BY user_id ORDER BY exec_ms, event_id) AS l FROM runs WHERE confidence >= 80) SELECT user_id::VARCHAR AS client, exec_ms AS time_ms, 'High' AS severity, 'shop_down' AS sarif_id FROM hits WHERE l IS NULL OR exec_ms > l")
+@query(_SHOP + " SELECT user_id::VARCHAR AS client, exec_ms AS time_ms, 'Critical' AS severity, 'shop_down' AS sarif_id FROM down")
 def ruleset_problems(spark, d):
     """The flagship: rules in text, through anchors, bindings, inferences and decisions, to problems."""
     return shop_plan(spark, d).problems.select(F.col("scope_key").alias("client"), "time_ms", "severity", "sarif_id")
 
 
-@query(_SHOP + " SELECT user_id::VARCHAR AS client, event_id, 'icmp.visibility' AS argument FROM raw WHERE weight = 35")
+@query(_SHOP + " SELECT user_id::VARCHAR AS client, event_id, 'lldp_poll' AS argument FROM raw WHERE lone")
 def ruleset_actions(spark, d):
     return shop_plan(spark, d).actions.select(F.col("scope_key").alias("client"), "event_id", "argument")
 
 
-ORDERED = RULES.replace("time: p.time in [e.time - 21600s, e.time + 43200s]", "time: p.time in [e.time - 21600s, e.time]").replace("target: e.target, weight", "target: e.network, weight")
+@query(_SHOP + """, parted AS (SELECT * FROM runs WHERE cause = 'ClientLeft' AND confidence >= 20),
+leaving AS (SELECT * FROM parted WHERE confidence > 40 QUALIFY coalesce(exec_ms > lag(exec_ms) OVER (PARTITION BY user_id ORDER BY exec_ms, event_id), true))
+SELECT user_id::VARCHAR AS client, exec_ms AS time_ms, 'ShopDown' AS what, 'page' AS rule, 'Critical' AS severity, 'CheckoutBroken' AS cause FROM down UNION ALL
+SELECT user_id::VARCHAR, exec_ms, 'ShopClosed', 'followed', 'Low', 'ShopDown' FROM down UNION ALL
+SELECT user_id::VARCHAR, exec_ms, 'run_check', 'followed', 'stp_root_check', NULL FROM down UNION ALL
+SELECT user_id::VARCHAR, exec_ms, 'ClientsLeave', 'sorted', 'Medium', 'ClientLeft' FROM leaving UNION ALL
+SELECT user_id::VARCHAR, exec_ms, 'request_observation', 'sorted', 'aaa.telemetry', NULL FROM parted WHERE confidence <= 40""")
+def ruleset_decisions(spark, d):
+    """Decisions that branch, act and follow another decision's problem: what they emit and do."""
+    plan = rule_plan.compile_rules(rule_text.parse(DECISIONS), rule_events(spark, d), CATALOG, LIMITS)
+    client = F.col("scope_key").alias("client")
+    found = plan.problems.select(client, "time_ms", F.col("problem").alias("what"), "rule", "severity", F.array_join("causes", ",").alias("cause"))
+    done = plan.actions.where(F.col("rule").isin("followed", "sorted"))
+    return found.unionByName(done.select(client, F.col("exec_ms").alias("time_ms"), F.col("kind").alias("what"), "rule", F.col("argument").alias("severity"), F.lit(None).cast("string").alias("cause")))
+
+
+ORDERED = RULES.replace("e.time + 43200s]", "e.time]").replace("target: e.target, evidence", "target: e.network, evidence")
 
 
 def flat_events(spark, d) -> DataFrame:
@@ -386,14 +416,14 @@ def flat_events(spark, d) -> DataFrame:
 _BACKWARD = _PAIRS.replace(f"AND a.time_ms + {FORWARD}", "AND a.time_ms")
 
 
-@query(_BACKWARD + f""", raw AS (SELECT a.*, CASE WHEN event_id IN (SELECT event_id FROM m) THEN 85 ELSE 35 END AS weight FROM a),
-infers AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY user_id, time_ms // {WINDOW} ORDER BY time_ms, event_id) = 1),
-own AS (SELECT user_id, parent, least(100, sum(weight))::INT AS confidence FROM infers GROUP BY user_id, parent)
-SELECT 'ClientMac:' || user_id AS scope, 'Vlan:' || parent AS target, confidence FROM own UNION ALL SELECT 'Vlan:' || parent, 'Vlan:' || parent, max(confidence) FROM own GROUP BY parent""")
+@query(_BACKWARD + f""", named AS (SELECT a.*, CASE WHEN event_id IN (SELECT event_id FROM m) THEN 'ClientLeft' ELSE 'CheckoutBroken' END AS kind FROM a),
+infers AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY user_id, kind, time_ms // {WINDOW} ORDER BY time_ms, event_id) = 1),
+own AS (SELECT user_id, parent, kind, least(100, sum(CASE kind WHEN 'ClientLeft' THEN 20 ELSE 55 END))::INT AS confidence FROM infers GROUP BY user_id, parent, kind)
+SELECT 'ClientMac:' || user_id AS scope, 'Vlan:' || parent AS target, kind, confidence FROM own UNION ALL SELECT 'Vlan:' || parent, 'Vlan:' || parent, kind, max(confidence) FROM own GROUP BY parent, kind""")
 def ordered_rollup(spark, d):
     """The ordered layer: clients' causes and their roll-up into the network, replayed per network."""
     got = engine.run_groups(flat_events(spark, d), "root", rule_text.parse(ORDERED), CATALOG, LIMITS)
-    return got.where("part = 'cause'").select("scope", "target", "confidence")
+    return got.where("part = 'cause'").select("scope", "target", "kind", "confidence")
 
 
 # --- streams -----------------------------------------------------------------------------------------------
@@ -617,6 +647,20 @@ def reassembly(spark, d):
     return got.select("l_orderkey", "n_segments", F.col("payload").cast("string").alias("payload"))
 
 
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS flow, l_linenumber * 10 AS pos, repeat(chr(64 + l_linenumber::INT), 10 * (1 + (l_partkey % 3)::INT)) AS body FROM lineitem WHERE l_suppkey % 11 <> 0),
+u AS (SELECT flow, pos, arg_max(body, length(body)) AS body FROM s GROUP BY flow, pos),
+r(flow, upto, n, payload) AS (SELECT DISTINCT flow, 10::BIGINT, 0::BIGINT, '' FROM s UNION ALL
+ SELECT r.flow, r.upto + length(u.body), r.n + 1, r.payload || u.body FROM r JOIN u ON u.flow = r.flow AND u.pos = r.upto)
+SELECT flow, max(n) AS n_segments, arg_max(payload, n) AS payload FROM r WHERE n > 0 GROUP BY flow""")
+def reassembly_overlap(spark, d):
+    """Segments that reach over those after them; a number that lies before the end is passed over."""
+    rows = source.tables(spark, d, "lineitem").where("l_suppkey % 11 <> 0")
+    body = F.expr("repeat(char(64 + l_linenumber), 10 * (1 + cast(l_partkey % 3 as int)))")
+    segments = rows.select(F.col("l_orderkey").alias("flow"), F.lit(10).cast("long").alias("start"), (F.col("l_linenumber") * 10).cast("long").alias("at"), body.cast("binary").alias("data"))
+    got = flow.contiguous(segments, ["flow"], "start", "at", "data")
+    return got.select("flow", "n_segments", F.col("payload").cast("string").alias("payload"))
+
+
 def queries() -> dict:
     return dict(_known)
 

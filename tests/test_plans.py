@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline import queries
 from strandline.operators import engine, evidence
-from strandline.plans import rule_text
+from strandline.plans import rule_plan, rule_text
 from strandline.sources import events, reports
 from strandline.streaming import runner
 
@@ -94,10 +94,31 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_plan_equals_ordered_layer(spark):
-    """Causes of the plan are those of the replay, up to the order in which a window's first inference is chosen."""
-    plan = queries.shop_plan(spark, SF).causes.select(F.concat(F.lit("ClientMac:"), "scope_key").alias("scope"), "confidence").toPandas()
-    replay = engine.run_groups(queries.flat_events(spark, SF), "root", rule_text.parse(queries.RULES), queries.CATALOG, queries.LIMITS).where("part = 'cause'").toPandas()
-    assert sorted(zip(plan.scope, plan.confidence)) == sorted(zip(replay.scope, replay.confidence.astype(int)))
+    """Causes and decisions of the plan are those of the replay; times differ, as the replay works when an event ends a window."""
+    rules = rule_text.parse(queries.DECISIONS)
+    plan = rule_plan.compile_rules(rules, queries.rule_events(spark, SF), queries.CATALOG, queries.LIMITS)
+    replay = engine.run_groups(queries.flat_events(spark, SF), "root", rules, queries.CATALOG, queries.LIMITS).toPandas()
+    name = F.concat(F.lit("ClientMac:"), "scope_key").alias("scope")
+    causes = plan.causes.select(name, "kind", "confidence").toPandas()
+    own = replay[replay.part == "cause"]
+    assert sorted(zip(causes.scope, causes.kind, causes.confidence)) == sorted(zip(own.scope, own.kind, own.confidence.astype(int)))
+    problems = {tuple(r) for r in plan.problems.select(name, "problem", "severity").collect()}
+    own = replay[(replay.part == "problem") & (replay.kind != "AmbiguousDiagnosis")]
+    assert problems == set(zip(own.scope, own.kind, own.severity)) and {k for _, k, _ in problems} == {"ShopDown", "ShopClosed", "ClientsLeave"}
+    done = {tuple(r) for r in plan.actions.select("target", "kind").collect()}
+    own = replay[(replay.part == "audit") & (replay.kind != "mark_ambiguous")]
+    assert done == set(zip(own.target, own.kind)) and {k for _, k in done} == {"run_check", "request_observation"}
+
+
+def test_plans_refuse_what_looks_back(spark):
+    events = queries.rule_events(spark, SF)
+    back = """decision %s { scope: ClientMac anchor d: Problem(ShopDown)
+        correlate u: Problem(ShopDown) { topo: same_client(u.target, d.target) time: u.time in [d.time - 30s, d.time] }
+        if present(u) { action suppress_symptom(d) { } } } }"""
+    on = 'decision on { scope: ClientMac anchor a: Problem(AmbiguousDiagnosis) action run_check(lldp_poll) { target: a.target } } }'
+    for more in (back % "twice", on):
+        with pytest.raises(ValueError, match="ordered layer"):
+            rule_plan.compile_rules(rule_text.parse(queries.RULES.rstrip().rstrip("}") + more), events, queries.CATALOG, queries.LIMITS)
 
 
 def test_watermark_in_slots(spark):
