@@ -1,4 +1,4 @@
-"""Decoding: any protocol row by row over Arrow batches, and straight layouts as column expressions.
+"""Decoding: any protocol over Arrow batches, message by message or a batch at once, and straight layouts as column expressions.
 
 Values are unsigned 64-bit.  A datagram that is too short gives 0 for the field and does not move on; a stream asks for
 more.  Names that are not known are errors when a protocol is compiled, and 0 with compat=True, as are __count and
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import unsigned
 from ..functions.names import Plugins
+from .wire_batch import can_batch, decoded_arrays
 from .wire_text import Field, Let, Loop, Match, Protocol, Validate
 
 MASK = (1 << 64) - 1
@@ -253,13 +254,22 @@ class Decoder:
 
 
 def decode_column(df: DataFrame, buffer: str, protocol: Protocol, compat: bool = False, layers: bool = False) -> DataFrame:
-    """df with fields (map of decimals), emitted (array of name and value), consumed and error, decoded over Arrow batches."""
+    """df with fields (map of decimals), emitted (array of name and value), consumed and error, decoded over Arrow batches.
+
+    A batch is decoded at once (wire_batch), save for streams and formats with plugins, which go message by message.
+    """
     number = pa.decimal128(20, 0)
     added = ["fields", "emitted", "consumed", "error"]
 
     def numbers(values: list[int]) -> pa.Array:
         return pa.array(np.array(values, dtype=np.uint64)).cast(number)
 
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *decoded_arrays(protocol, compat, batch.column(buffer), layers, limits)], [*batch.schema.names, *added])
+
+    limits = (STEPS, TURNS, NAMES, DEPTH)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(protocol, compat)
         for batch in batches:
@@ -290,7 +300,7 @@ def decode_column(df: DataFrame, buffer: str, protocol: Protocol, compat: bool =
     wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = df if df.isStreaming or df.rdd.getNumPartitions() >= wide else df.repartition(wide)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{names}, fields map<string,decimal(20,0)>, emitted array<struct<name:string,value:decimal(20,0)>>, consumed long, error string")
+    return df.mapInArrow(at_once if can_batch(protocol) else run, f"{names}, fields map<string,decimal(20,0)>, emitted array<struct<name:string,value:decimal(20,0)>>, consumed long, error string")
 
 
 def columns(protocol: Protocol, buffer: Column, message: str | None = None) -> dict[str, Column]:

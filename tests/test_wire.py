@@ -215,3 +215,47 @@ def test_machine_plan_equals_fold(spark):
 
 def test_unknown_message_is_an_error():
     assert one("message M { a: Nothing; }", "00").error == "no message Nothing"
+
+
+FORMATS = {
+    "numbers": "message M { a: u24; b: u16le; c: u32 if a > 70000; d: u8; e: u64le; f: u64; }",
+    "bits": "message M { a: bitfield{3}; b: bitfield{7}; c: u8; d: bitfield{13}; e: u16; }",
+    "bytes": "message M { n: u8; s: bytes[n & 15]; t: u16; u: bytes[t]; r: bytes[..]; z: u8; }",
+    "lets": "message M { a: u8; b: u64; let c = a > 3 ? b * b : b + 1; let d = (a & 1) ?? (b - 7); let e = b / (a & 3) + b % (a & 7); let f = ~b ^ -a | b << a; let g = (b >> a) != 3 && a <= 9 || !(b < 5); let h = __rem + __current_offset; }",
+    "checks": 'message M { a: u8; validate a >= 20 -> "low"; b: u8; validate b != a -> "same"; let q = c; c: u8; }',
+    "tlv": 'message A { type: u8; size: u8; validate size >= 2 -> "short"; value: bytes[(size & 7) - 2]; } message M { n: u8; loop items carry sum: u32 = n while __count < (n & 15) { a: A; next sum = sum + a.value; } end: u8; }',
+    "count": "message M { n: u8; loop l while __count < (n & 7) { x: u8; loop k while __count < 2 { y: u8; } } z: u16; }",
+    "endless": "message M { n: u8; loop l while n > 0 { x: bytes[n & 1]; } }",
+    "match": "message M { t: u8; match t & 3 { case 1 => { a: u8; } case 2 => { b: u16; c: M if t > 250; } default => { d: u24; let e = a; } } f: u8; }",
+    "deep": "message M { t: u8; m: M if t > 9; }",
+    "unknown": "message M { t: u8; let a = t > 128 ? nothing : 4; b: Gone if t > 64; c: u8; }",
+    "layers": "message O { k: u8; j: u8; body: bytes[j & 7]; } message I { part: u16; more: u8; } message J { last: u8; } bind O payload to I when k > 99; bind O payload to J when I.more > 7 || k < 20;",
+}
+
+
+@pytest.mark.parametrize("name", FORMATS)
+@pytest.mark.parametrize("compat", [False, True])
+def test_batches_equal_single_messages(name, compat):
+    import pyarrow as pa
+
+    from strandline.plans import wire_batch, wire_decode
+
+    p = wire_text.one(f"protocol P {{ meta {{ endian = big; mode = datagram; }} {FORMATS[name]} }}")
+    assert wire_batch.can_batch(p)
+    rng = random.Random(name)
+    data = [None, b""] + [bytes(rng.choice([0, 1, 2, 3, 5, 9, 130, 255, rng.randrange(256)]) for _ in range(rng.randrange(40))) for _ in range(150)]
+    for limits in ((100_000, 300, 1024, 8), (23, 3, 6, 2)):
+        wide = name == "layers"
+        got = wire_batch.decoded_arrays(p, compat, pa.array(data, pa.binary()).slice(1), wide, limits)
+        old = [getattr(wire_decode, k) for k in ("STEPS", "TURNS", "NAMES", "DEPTH")]
+        wire_decode.STEPS, wire_decode.TURNS, wire_decode.NAMES, wire_decode.DEPTH = limits
+        try:
+            for i, message in enumerate(data[1:]):
+                one = Decoder(p, compat)
+                want = one.decode(message)
+                fields = one.layers(message) if wide else want.fields
+                assert {k: int(v) for k, v in got[0][i].as_py()} == fields, (i, message)
+                assert [(x["name"], int(x["value"])) for x in got[1][i].as_py()] == want.emitted
+                assert (got[2][i].as_py(), got[3][i].as_py()) == (want.consumed, want.error)
+        finally:
+            wire_decode.STEPS, wire_decode.TURNS, wire_decode.NAMES, wire_decode.DEPTH = old
