@@ -278,14 +278,57 @@ def redact(spark, d):
     return ev(spark, d).select("event_id", F.concat(F.lit("value_c="), red["value_c"], F.lit(";user="), red["user"]).alias("fields"))
 
 
-@query(_CAUSES + """ SELECT user_id, '{"ruleId":"l3_' || cause || '","level":"' || CASE WHEN confidence >= 80 THEN 'error' ELSE 'warning' END || '","message":{"text":"Slow on ' || user_id || '"},"fingerprints":{"scope":"'
- || user_id || '","target":"' || user_id || '","causes":"' || cause || '"}}' AS result FROM causes WHERE confidence >= 40 AND user_id % 5 <> 0""")
+def fnv_sql(*parts: str) -> str:
+    """FNV-1a-64 in SQL over byte lists."""
+    step = "(xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT"
+    return f"list_reduce(list_prepend(14695981039346656037::HUGEINT, {' || '.join(parts)}), lambda h, b: {step})"
+
+
+def u64_sql(x: str) -> str:
+    """The eight bytes of a number that is not negative (a HUGEINT may have the top bit)."""
+    return f"list_transform([56, 48, 40, 32, 24, 16, 8, 0], lambda s: ((({x})::HUGEINT >> s) & 255::HUGEINT))"
+
+
+def hex_sql(x: str) -> str:
+    return f"lpad(lower(to_hex(({x})::UBIGINT)), 16, '0')"
+
+
+_TARGET = f"""keyed AS (SELECT user_id, {fnv_sql(u64_sql("user_id"))} AS key FROM (SELECT DISTINCT user_id FROM causes)),
+hashed AS (SELECT user_id, 'client_mac:' || {hex_sql(fnv_sql("[2::HUGEINT]", u64_sql("key")))} AS target FROM keyed)"""
+
+
+@query(_CAUSES + f""", {_TARGET} SELECT c.user_id, '{{"ruleId":"l3_' || cause || '","level":"' || CASE WHEN confidence >= 80 THEN 'error' ELSE 'warning' END || '","message":{{"text":"Slow detected in client_mac scope"}},"partialFingerprints":{{"scope":"client_mac","target":"'
+ || target || '","causes":["' || cause || '"]}}' || CASE WHEN c.user_id % 3 = 0 THEN '' ELSE ',"properties":{{"evidence":{{"confidence":"' || confidence || '","user":"<redacted>"}}}}' END || '}}' AS result
+ FROM causes c JOIN hashed USING (user_id) WHERE confidence >= 40 AND c.user_id % 5 <> 0""")
 def sarif_rows(spark, d):
+    fields = F.when(F.col("user_id") % 3 != 0, F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("confidence"), F.col("confidence").cast("string")))
     rows = found_causes(spark, d).where("confidence >= 40").select(
         "user_id", F.lit("Slow").alias("problem"), F.concat(F.lit("l3_"), "cause").alias("sarif_id"), F.when(F.col("confidence") >= 80, "High").otherwise("Medium").alias("severity"),
-        F.col("user_id").alias("scope"), F.col("user_id").alias("target"), F.array("cause").alias("causes"), (F.col("user_id") % 5 == 0).alias("superseded"),
+        F.lit("ClientMac").alias("scope_type"), F.lit("ClientMac").alias("target_type"), keys.scope_key("ClientMac", F.col("user_id")).alias("target_key"), F.array("cause").alias("causes"),
+        (F.col("user_id") % 5 == 0).alias("superseded"), reports.redacted(F.coalesce(fields, F.create_map().cast("map<string,string>")), {"user"}).alias("evidence"),
+    )
+    return reports.results(rows, "evidence").select("user_id", "result")
+
+
+_IP = lambda x: f"[0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 255, 255, 10, 0, ({x}) // 256, ({x}) % 256]::HUGEINT[]"
+
+
+@query(f"""WITH e AS (SELECT c_custkey, c_nationkey, {_IP("c_custkey % 65536")} || {u64_sql("c_nationkey + 80")} AS x, {_IP("(c_custkey * 7) % 65536")} || {u64_sql("443")} AS y FROM customer),
+k AS (SELECT *, {fnv_sql("(CASE WHEN x <= y THEN x || y ELSE y || x END)")} AS session, {fnv_sql(u64_sql("c_custkey"), u64_sql("c_nationkey"))} AS port FROM e)
+SELECT c_custkey, {hex_sql("session")} AS session, {hex_sql("port")} AS port, {hex_sql(fnv_sql("[0::HUGEINT]", u64_sql("session")))} AS session_hash, {hex_sql(fnv_sql("[1::HUGEINT]", u64_sql("port")))} AS port_hash,
+ {hex_sql(fnv_sql("[5::HUGEINT]", u64_sql("0")))} AS global_hash FROM k""")
+def scope_hashes(spark, d):
+    """Keys of sessions (the ends in either order, addresses of 4 bytes) and of ports, and the hashes that reports show."""
+    ip = lambda c: F.concat(F.unhex(F.lit("0A00")), F.unhex(F.lpad(F.hex((c % 65536).cast("long")), 4, F.lit("0"))))
+    c = F.col("c_custkey")
+    session = keys.session_key((ip(c), F.col("c_nationkey") + 80), (ip(c * 7), F.lit(443)))
+    port = keys.scope_key("Port", c, F.col("c_nationkey"))
+    shown = lambda scope, key: keys.hex64(keys.scope_hash(F.lit(scope), key))
+    got = source.tables(spark, d, "customer").select("c_custkey", session.alias("_s"), port.alias("_p"))
+    return got.select(
+        "c_custkey", keys.hex64(F.col("_s")).alias("session"), keys.hex64(F.col("_p")).alias("port"), shown("Session", F.col("_s")).alias("session_hash"), shown("Port", F.col("_p")).alias("port_hash"),
+        shown("Global", keys.scope_key("Global")).alias("global_hash"),
     )
-    return reports.results(rows).select("user_id", "result")
 
 
 @query(_PAIRS + " SELECT event_id, 'request_observation' AS action, 'ADGL3001' AS outcome FROM a WHERE event_id NOT IN (SELECT event_id FROM m)")

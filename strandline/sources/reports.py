@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import LEVELS
+from ..functions import keys
+
+# Fixed value: the schema that a report names.
+SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 # Audit codes of actions without a live control plane.
 NO_OP, NOT_SUPPORTED = "ADGL3001", "NotSupported"
@@ -18,27 +24,37 @@ def level(severity: Column) -> Column:
     return out
 
 
-def results(problems: DataFrame, evidence: Column | None = None) -> DataFrame:
-    """One report line (JSON) for each problem that is not superseded: rule, level, message, fingerprints.
+def results(problems: DataFrame, evidence: str | None = None) -> DataFrame:
+    """One report line (JSON) for each problem that is not superseded: rule, level, message, fingerprints, evidence.
 
-    problems: problem, sarif_id, severity, scope, target, causes array, superseded.
+    problems: problem, sarif_id, severity, scope_type, target_type, target_key (BIGINT, see keys), causes array, superseded;
+    evidence names a column of map<string, string>, which is left out where it is empty.
     """
+    scope = keys.scope_name(F.col("scope_type"))
+    target = F.concat(keys.scope_name(F.col("target_type")), F.lit(":"), keys.hex64(keys.scope_hash(F.col("target_type"), F.col("target_key"))))
     parts = [
         F.col("sarif_id").alias("ruleId"),
         level(F.col("severity")).alias("level"),
-        F.struct(F.concat(F.col("problem"), F.lit(" on "), F.col("target").cast("string")).alias("text")).alias("message"),
-        F.struct(F.col("scope").cast("string").alias("scope"), F.col("target").cast("string").alias("target"), F.array_join("causes", ",").alias("causes")).alias("fingerprints"),
+        F.struct(F.concat(F.col("problem"), F.lit(" detected in "), scope, F.lit(" scope")).alias("text")).alias("message"),
+        F.struct(scope.alias("scope"), target.alias("target"), F.col("causes").alias("causes")).alias("partialFingerprints"),
     ]
     if evidence is not None:
-        parts.append(F.struct(evidence.alias("evidence")).alias("properties"))
+        found = F.map_from_entries(F.array_sort(F.map_entries(evidence)))
+        parts.append(F.when(F.size(evidence) > 0, F.struct(found.alias("evidence"))).alias("properties"))
     return problems.where(~F.col("superseded")).withColumn("result", F.to_json(F.struct(*parts)))
 
 
-def envelope(lines: DataFrame, tool: str) -> DataFrame:
+def envelope(lines: DataFrame, tool: str = "adgl") -> DataFrame:
     """The report of one ruleset.  A report is a document: it is made of as many results as its reader can hold."""
-    found = F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(F.struct(F.lit(tool).alias("name")).alias("driver")).alias("tool"))).alias("runs")))
+    head = json.dumps({"version": "2.1.0", "$schema": SCHEMA, "runs": [{"tool": {"driver": {"name": tool}}}]}, separators=(",", ":"))
     body = F.array_join(F.array_sort(F.collect_list("result")), ",")
-    return lines.agg(F.concat(F.regexp_replace(found, r"\}\]\}$", ""), F.lit(',"results":['), body, F.lit("]}]}")).alias("report"))
+    return lines.agg(F.concat(F.lit(head[:-3] + ',"results":['), body, F.lit("]}]}")).alias("report"))
+
+
+def report_lines(lines: DataFrame, path: str, tool: str = "adgl") -> None:
+    """A report of any size, as a folder of files of results, a line each, and its head in a file beside them."""
+    lines.select("result").write.mode("overwrite").text(f"{path}/results")
+    envelope(lines.limit(0), tool).write.mode("overwrite").text(f"{path}/head")
 
 
 def redacted(fields: Column, private: set[str]) -> Column:

@@ -133,12 +133,32 @@ def test_watermark_in_slots(spark):
 
 
 def test_reports(spark):
-    rows = [("Slow", "s1", "Critical", "a", "b", ["X"], False), ("Slow", "s2", "Low", "a", "b", ["X", "Y"], True), ("Odd", "s3", "Optional", "a", "b", [], False)]
-    df = spark.createDataFrame(rows, "problem string, sarif_id string, severity string, scope string, target string, causes array<string>, superseded boolean")
-    lines = [json.loads(r["result"]) for r in reports.results(df).collect()]
-    assert sorted((x["ruleId"], x["level"]) for x in lines) == [("s1", "error"), ("s3", "note")]
+    rows = [
+        ("Slow", "s1", "Critical", "Vlan", "Vlan", 7, ["X"], False, {"b": "2", "a": "1"}), ("Slow", "s2", "Low", "Vlan", "Vlan", 7, ["X", "Y"], True, {}),
+        ("Odd", "s3", "Optional", "Port", "Global", 0, [], False, {}),
+    ]
+    df = spark.createDataFrame(rows, "problem string, sarif_id string, severity string, scope_type string, target_type string, target_key long, causes array<string>, superseded boolean, evidence map<string,string>")
+    lines = {x["ruleId"]: x for x in (json.loads(r["result"]) for r in reports.results(df, "evidence").collect())}
+    assert {k: x["level"] for k, x in lines.items()} == {"s1": "error", "s3": "note"}
+    assert lines["s1"]["message"] == {"text": "Slow detected in vlan scope"} and lines["s1"]["properties"] == {"evidence": {"a": "1", "b": "2"}} and "properties" not in lines["s3"]
+
+    def fnv(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return h
+
+    assert lines["s1"]["partialFingerprints"] == {"scope": "vlan", "target": f"vlan:{fnv(bytes([3]) + (7).to_bytes(8, 'big')):016x}", "causes": ["X"]}
+    assert lines["s3"]["partialFingerprints"] == {"scope": "port", "target": f"global:{fnv(bytes([5]) + bytes(8)):016x}", "causes": []}
     whole = json.loads(reports.envelope(reports.results(df), "t").first()[0])
-    assert whole["version"] == "2.1.0" and len(whole["runs"][0]["results"]) == 2 and whole["runs"][0]["tool"]["driver"]["name"] == "t"
+    assert whole["version"] == "2.1.0" and whole["$schema"].endswith("sarif-2.1.0.json") and len(whole["runs"][0]["results"]) == 2 and whole["runs"][0]["tool"]["driver"]["name"] == "t"
+
+
+def test_a_report_of_any_size(spark, tmp_path):
+    lines = spark.range(50).select(F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit("}")).alias("result")).repartition(3)
+    reports.report_lines(lines, str(tmp_path / "r"))
+    assert sorted(json.loads(r[0])["n"] for r in spark.read.text(str(tmp_path / "r/results")).collect()) == list(range(50))
+    assert json.loads(spark.read.text(str(tmp_path / "r/head")).first()[0])["runs"][0]["results"] == []
 
 
 def test_event_sources(spark):
@@ -155,5 +175,9 @@ def test_keys(spark):
     from strandline.functions import keys
 
     df = spark.createDataFrame([(5, 80, 3, 90), (3, 90, 5, 80)], "a long, b long, c long, d long")
-    got = df.select(keys.endpoints((F.col("a"), F.col("b")), (F.col("c"), F.col("d"))).alias("k"), keys.endpoints((F.col("a"), F.col("b")), (F.col("c"), F.col("d")), compat=True).alias("s"), keys.fnv_hex(F.lit("a")).alias("h")).collect()
-    assert got[0]["k"] == got[1]["k"] and len(got[0]["k"]) == 32 and got[0]["s"] == got[0]["k"][:16] and got[0]["h"] == "af63dc4c8601ec8c"
+    got = df.select(keys.endpoints((F.col("a"), F.col("b")), (F.col("c"), F.col("d"))).alias("k"), keys.endpoints((F.col("a"), F.col("b")), (F.col("c"), F.col("d")), compat=True).alias("s"), keys.fnv_hex(F.lit("a")).alias("h"), keys.fnv_hex(F.lit("")).alias("e")).collect()
+    assert got[0]["k"] == got[1]["k"] and len(got[0]["k"]) == 32 and got[0]["s"] == got[0]["k"][:16] and (got[0]["h"], got[0]["e"]) == ("af63dc4c8601ec8c", "cbf29ce484222325")
+    ip = lambda x: F.unhex(F.lit(x))
+    ends = [(ip("0A000001"), F.lit(5)), (ip("20010DB8000000000000000000000001"), F.lit(6))]
+    row = df.select(keys.session_key(*ends).alias("x"), keys.session_key(*reversed(ends)).alias("y"), keys.address(ip("0A000001")).alias("a")).first()
+    assert row["x"] == row["y"] and bytes(row["a"]).hex() == "00000000000000000000ffff0a000001"
