@@ -73,6 +73,9 @@ class Engine:
         self.absent: list[tuple] = []  # windows that were decided absent: scope, event type, from, to, rule
         self.sources: dict[tuple, list[int]] = {}
         self.waiting: list[tuple] = []  # (upper, scope, rule name, event id, rule, event), in the order in which they resume
+        self.children: dict[tuple, dict[tuple, int]] = {}  # (cause, target) -> scopes below and their confidence
+        self.rolled: set[tuple] = set()  # (child, parent) of the edges of roll-ups
+        self.touched: set[int] = set()  # causes and problems that are new or changed since the last drain
         self.swept = LEAST
         self.arrived = self.left = 0
         self.pairs = exclusive_pairs(rules, catalog)
@@ -109,6 +112,12 @@ class Engine:
         if awake and (self.watermark is None or min(awake) > self.watermark):
             self.watermark = min(awake)
 
+    def tick(self, wall: int) -> None:
+        """Wall time goes on without an event: scopes that have become idle no longer hold the watermark."""
+        awake = [local for local, seen in self.sources.values() if wall - seen < self.limits.idle_timeout]
+        if self.live and awake and self.watermark is not None and min(awake) > self.watermark:
+            self.advance(min(awake))
+
     def advance(self, t: int) -> None:
         """A punctuation: time has come to t."""
         self.watermark = t if self.watermark is None else max(self.watermark, t)
@@ -308,6 +317,7 @@ class Engine:
                 for x in self.part(scope).problems:
                     if (x["kind"], x["target"]) == (hit["kind"], hit["target"]):
                         x["superseded"] = True
+                        self.touched.add(x["id"])
             self.note(i.kind, "ADGL3001" if i.kind == "request_observation" and not self.live else None, i.argument, target, rule.name)
 
     def note(self, action: str, code: str | None, argument, target: tuple, rule: str = "") -> None:
@@ -338,18 +348,20 @@ class Engine:
 
     def _roll_up(self, kind: str, target: tuple, child: dict) -> None:
         """The parent holds the largest confidence among the scopes below it; what it inferred itself is overwritten."""
-        best = [p.causes[kind, target]["confidence"] for s, p in self.parts.items() if s != target and target[0] in ANCESTORS[s[0]] and (kind, target) in p.causes]
+        below = self.children.setdefault((kind, target), {})
+        below[child["scope"]] = child["confidence"]
         parent = self.part(target)
         cause = parent.causes.get((kind, target))
         if cause is None:
             cause = parent.causes[kind, target] = {"id": self._new(), "kind": kind, "target": target, "scope": target, "time_ms": self.watermark, "confidence": 0}
-        edge = {"src": child["id"], "dst": cause["id"], "kind": "RollsUp"}
-        if edge not in parent.edges:
-            parent.edges.append(edge)
-        cause["confidence"] = max(best)
+        if (child["id"], cause["id"]) not in self.rolled:
+            self.rolled.add((child["id"], cause["id"]))
+            parent.edges.append({"src": child["id"], "dst": cause["id"], "kind": "RollsUp"})
+        cause["confidence"] = max(below.values())
         self._changed(target, cause)
 
     def _changed(self, scope: tuple, cause: dict) -> None:
+        self.touched.add(cause["id"])
         self._compare(scope, cause)
         self._decide("Cause", scope, cause)
 
@@ -380,6 +392,7 @@ class Engine:
         made = {"id": self._new(), "kind": kind, "target": target, "scope": scope, "time_ms": self.watermark, "severity": severity, "sarif_id": sarif}
         made |= {"causes": list(dict.fromkeys(x["kind"] for x in evidence)), "superseded": False}
         self.part(scope).problems.append(made)
+        self.touched.add(made["id"])
         return made
 
     def _emit(self, rule: Rule, i: Intent, scope: tuple, target: tuple, bound: list[Binding]) -> None:
@@ -400,6 +413,21 @@ class Engine:
         audit = sorted(self.audit, key=lambda a: (a["wm"], a["rule"], a["action"], a["target"]))
         return {"causes": causes, "problems": problems, "audit": audit}
 
+    def drain(self) -> dict[str, list[dict]]:
+        """What is new or changed since the last call, for a stream that keeps no history here.
+
+        Audit, diagnostics and late events go with it, and so do problems and edges that no window reaches any more: such
+        a problem can no longer be marked as superseded.
+        """
+        got = self.snapshot()
+        new = {part: [x for x in got[part] if x["id"] in self.touched] for part in ("causes", "problems")} | {"audit": got["audit"]}
+        self.touched, self.audit, self.diagnostics, self.late = set(), [], [], []
+        oldest = LEAST if self.watermark is None else self.watermark - self.limits.max_lookback
+        for p in self.parts.values():
+            p.problems = [x for x in p.problems if x["time_ms"] >= oldest]
+            p.edges = []
+        return new
+
 
 OUTPUT = "root string, part string, scope string, kind string, target string, confidence int, time_ms long, severity string, sarif_id string, causes string, superseded boolean, code string"
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,16 +84,28 @@ class Sessions:
 
 
 def run_machine(messages: DataFrame, machine: Machine, key: str, order: list[str], message: str, context: list[str]) -> DataFrame:
-    """Each message with the state of its flow before and after it, and what it emitted."""
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
+    """Each message with the state of its flow before and after it, and what it emitted.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        sessions = Sessions(machine)
-        steps = [sessions.feed(0, getattr(r, message), {c: int(getattr(r, c)) for c in context if pd.notna(getattr(r, c))}) for r in pdf.itertuples(index=False)]
-        return pdf.assign(state_before=[s[0] for s in steps], state_after=[s[1] for s in steps], emitted=[",".join(s[2]) for s in steps])
+    Flows stream by in their order, one after the other; a task holds one batch of rows and one session, however long a
+    flow is.  One flow is the work of one task, as a machine with variables is sequential.
+    """
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
 
-    return messages.groupBy(key).applyInPandas(fold, f"{names}, state_before string, state_after string, emitted string")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sessions = object(), None
+        for batch in batches:
+            found: tuple[list, list, list] = ([], [], [])
+            values = [batch.column(c).to_pylist() for c in context]
+            for k, kind, *given in zip(batch.column(key).to_pylist(), batch.column(message).to_pylist(), *values):
+                if sessions is None or k != at:
+                    at, sessions = k, Sessions(machine)
+                step = sessions.feed(0, kind, {c: int(v) for c, v in zip(context, given) if v is not None})
+                for out, value in zip(found, (*step[:2], ",".join(step[2]))):
+                    out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.string()) for c in found)], [*batch.schema.names, "state_before", "state_after", "emitted"])
+
+    dealt = messages.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(fold, f"{names}, state_before string, state_after string, emitted string")
 
 
 def table_machine(messages: DataFrame, key: list[str], order: list[str], symbol: Column, moves: dict[str, dict[str, str]], initial: str, slot: Column) -> DataFrame:

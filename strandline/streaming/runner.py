@@ -17,23 +17,32 @@ FLUSH = "flush"
 
 
 def run_stream(events: DataFrame, root: str, rules: Ruleset, catalog: Catalog, limits: Limits = Limits(), topology: Topology | None = None, live: bool = False) -> DataFrame:
-    """For every micro-batch the new snapshot of each root that it touched (update mode).
+    """What is new or changed in each root that a micro-batch touches (update mode): causes by their last confidence, problems, audit.
 
-    A row of event_type "flush" decides all that waits in its root, as the end of the input does in batch.
+    A row of event_type "flush" decides all that waits in its root, as the end of the input does in batch.  Where events
+    have a watermark on event_time (see event_time), a timer wakes a root when the stream's time has passed the end of the
+    first window that waits there, so an anchor is decided without another row of its root.  State holds what windows can
+    still reach, and the causes.
     """
+    timed = "event_time" in events.columns
 
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         engine: Engine = pickle.loads(state.get[0]) if state.exists else Engine(rules, catalog, limits, topology, live)
-        rows = pd.concat(list(parts)).sort_values(["time_ms", "event_id"])
-        for row in rows.itertuples(index=False):
-            if row.event_type == FLUSH:
-                engine.finish()
-            else:
-                engine.ingest(event_of(row))
+        if state.hasTimedOut:
+            engine.advance(state.getCurrentWatermarkMs())
+        else:
+            for row in pd.concat(list(parts)).sort_values(["time_ms", "event_id"]).itertuples(index=False):
+                if row.event_type == FLUSH:
+                    engine.finish()
+                else:
+                    engine.ingest(event_of(row))
+        found = rows_of(str(key[0]), engine.drain())
         state.update((pickle.dumps(engine),))
-        yield rows_of(str(key[0]), engine.snapshot())
+        if timed and engine.waiting:
+            state.setTimeoutTimestamp(max(engine.waiting[0][0], state.getCurrentWatermarkMs()) + 1)
+        yield found
 
-    return events.groupBy(root).applyInPandasWithState(step, OUTPUT, "engine binary", "update", "NoTimeout")
+    return events.groupBy(root).applyInPandasWithState(step, OUTPUT, "engine binary", "update", "EventTimeTimeout" if timed else "NoTimeout")
 
 
 def watermarks(events: DataFrame, slot: int, order: tuple[str, ...] = ("arrival",), time: str = "time_ms") -> DataFrame:

@@ -1,6 +1,7 @@
 """Plans over tables: folds, cooldown, streams against batch, reports, and every registered query against its SQL."""
 
 import json
+import pickle
 import random
 
 import duckdb
@@ -79,8 +80,9 @@ def test_stream_equals_batch(spark, tmp_path):
     seen = {}
 
     def keep(df, _):
-        for root, part in df.toPandas().groupby("root"):
-            seen[root] = part
+        for r in df.toPandas().itertuples(index=False):
+            if r.part != "audit":
+                seen[r.root, r.part, r.scope, r.kind, r.target, r.part == "problem" and r.time_ms] = r
 
     for n, part in enumerate([*parts, end]):
         spark.createDataFrame(part, flat.schema).coalesce(1).write.mode("append").parquet(str(source))
@@ -90,7 +92,56 @@ def test_stream_equals_batch(spark, tmp_path):
         q.awaitTermination()
     cols = ["root", "part", "scope", "kind", "target", "confidence", "severity", "sarif_id"]
     state = lambda df: sorted(map(str, df[df.part != "audit"][cols].astype(str).values.tolist()))
-    assert state(pd.concat(seen.values())) == state(batch) and len(batch) > 20
+    assert state(pd.DataFrame(seen.values())) == state(batch) and len(batch) > 20
+
+
+def test_a_waiting_anchor_is_decided_without_another_row(spark, tmp_path):
+    """A row of another root moves the stream's time; the timer then decides what waits in the first."""
+    rules = rule_text.parse(queries.RULES)
+    row = lambda root, i, kind, t: (root, i, f"shop.{kind}", t, "ClientMac", root, None, None, json.dumps({"value_c": 5000}))
+    schema = queries.flat_events(spark, SF).schema
+    hour, source, seen = queries.HOUR, tmp_path / "in", []
+
+    def keep(df, _):
+        seen.append(sorted((r["root"], r["part"], r["kind"]) for r in df.collect()))
+
+    for rows in ([row("1", 1, "error", 100 * hour)], [row("2", 2, "error", 120 * hour)], [row("2", 3, "view", 121 * hour)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = runner.event_time(spark.readStream.schema(schema).parquet(str(source)), hour)
+        got = runner.run_stream(stream, "root", rules, queries.CATALOG, queries.LIMITS)
+        q = got.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    found = [x for batch in seen for x in batch]
+    assert ("1", "problem", "ShopDown") in found and ("1", "cause", "CheckoutBroken") in found and not any(r == "2" for r, *_ in found)
+
+
+def test_state_stays_flat_over_a_long_run():
+    rules = rule_text.parse(queries.RULES)
+    limits = rule_text.Limits(max_lookback=40 * queries.HOUR, dedup_window=queries.HOUR, cooldown=0)
+    engine_ = engine.Engine(rules, queries.CATALOG, limits)
+    sizes = []
+    for i in range(4000):
+        engine_.ingest({"event_id": i, "event_type": "shop.error", "time_ms": i * queries.HOUR, "scope": ("ClientMac", "c"), "target": None, "fields": {"value_c": 2000}, "strings": {}, "scopes": {}})
+        if i % 50 == 0:
+            engine_.drain()
+            if i >= 500:
+                sizes.append(len(pickle.dumps(engine_)))
+    assert max(sizes) < 1.3 * min(sizes)
+
+
+def test_wall_time_wakes_what_idle_scopes_held():
+    rules = rule_text.parse(queries.RULES)
+    limits = rule_text.Limits(max_lookback=40 * queries.HOUR, dedup_window=queries.HOUR, max_disorder=0, idle_timeout=100)
+    live = engine.Engine(rules, queries.CATALOG, limits, live=True)
+    made = lambda i, scope, t: {"event_id": i, "event_type": "shop.error", "time_ms": t, "scope": ("ClientMac", scope), "target": None, "fields": {"value_c": 2000}, "strings": {}, "scopes": {}}
+    live.ingest(made(1, "a", 0), wall=0)
+    live.ingest(made(2, "b", 30 * queries.HOUR), wall=50)
+    live.tick(99)
+    assert live.watermark == 0 and not live.snapshot()["causes"]
+    live.tick(120)  # scope a is idle now
+    assert live.watermark == 30 * queries.HOUR and [c["scope"] for c in live.snapshot()["causes"]] == [("ClientMac", "a")]
+    live.tick(900)  # all are idle: the watermark stays
+    assert live.watermark == 30 * queries.HOUR
 
 
 def test_plan_equals_ordered_layer(spark):
