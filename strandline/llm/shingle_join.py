@@ -25,7 +25,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +52,10 @@ class Rule:
     num: int = 90
     den: int = 100
 
+    def maker(self) -> Callable[[str | None], np.ndarray]:
+        """What turns a text into its set: ascending numbers, spread evenly below 2**63."""
+        return Shingler(self.k)
+
     def lead(self, n: int) -> int:
         """How many first shingles of a set of n can decide."""
         return n + (-self.num * n) // self.den + 1
@@ -235,7 +239,7 @@ def _sets_and_counts(docs: DataFrame, id_col: str, text_col: str, rule: Rule) ->
     """kind 0: id, digest and size of every row; kind 1: a shingle (d1) and how often a task met it (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held, size = Shingler(rule.k), [], 0
+        shingles, held, size = rule.maker(), [], 0
 
         def counts() -> pa.RecordBatch:
             value, n = np.unique(np.concatenate(held), return_counts=True)
@@ -277,7 +281,7 @@ def _first_shingles(docs: DataFrame, text_col: str, rule: Rule, order) -> DataFr
     cut = rule.cut()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, (shared, rank), met = Shingler(rule.k), order.value, set()
+        shingles, (shared, rank), met = rule.maker(), order.value, set()
         for batch in batches:
             for part in slices(batch, text_col):
                 heads, keys, nodes, kinds, sizes = [], [], [], [], []
@@ -399,7 +403,7 @@ def _linked(members: DataFrame, rule: Rule, order) -> DataFrame:
     """Edges (a, b) of digests between each set and the first of its component, for every group and pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, (shared, rank) = Shingler(rule.k), order.value
+        shingles, (shared, rank) = rule.maker(), order.value
         group, sets, marks, out = None, [], [], []
 
         def close() -> None:
@@ -520,7 +524,7 @@ def _own_texts(members: DataFrame, rule: Rule) -> DataFrame:
     """Only the rows whose text has the digest that they were joined for, one for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(rule.k)
+        shingles = rule.maker()
         for batch in batches:
             for part in slices(batch, "text"):
                 own = [digest(shingles(t)) for t in part.column("text").to_pylist()]
@@ -551,7 +555,7 @@ def _with_digests(docs: DataFrame, text_col: str, rule: Rule) -> DataFrame:
     """docs with the digest (_d1, _d2) and size (_n) of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(rule.k)
+        shingles = rule.maker()
         for batch in batches:
             for part in slices(batch, text_col):
                 sets = [shingles(t) for t in part.column(text_col).to_pylist()]

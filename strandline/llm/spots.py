@@ -2,9 +2,8 @@
 
 Common words of the corpus are anchors.  A spot is an anchor with the chain of the `chain` content words that follow
 it; the set of a document's spots, as 48-bit hashes, is its fingerprint (sorted, eight base64 characters a spot).
-Likeness is the Jaccard similarity of two such sets.  Near pairs are found among documents partitioned by set length,
-where only neighbouring lengths can reach the threshold, through an index of the spots that one of two alike
-sets must share, and compared until the bound on what is left falls short.
+Likeness is the Jaccard similarity of two such sets.  near_classes finds documents alike, by set length and with a bound on
+what is left to compare; fingerprint_edits gives likenesses of known pairs in full, so it searches and prunes nothing.
 
 Words are runs between [\\x20\\x09-\\x0D] and ASCII punctuation, A-Z lower-cased.  Anchors are the `anchors` most
 frequent words over all documents.
@@ -22,6 +21,7 @@ import base64
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, partitions, slices, written
+from .common import LOWER, UPPER, partitions, slices
+from .shingle_join import Rule, jaccard_components
 
 _MAP = bytes.maketrans((UPPER + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").encode(), (LOWER + " " * 32).encode())
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -189,42 +190,25 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return got.withColumnRenamed("id", id_col)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchors: int = 64, chain: int = 2) -> DataFrame:
-    """id_col, fingerprint, spots array<long>."""
-    words = common_words(docs, text_col, anchors)
+@dataclass(frozen=True)
+class SpotRule(Rule):
+    """Sets of spots in place of shingles."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spot = Spotter(words, chain)
-        for batch in batches:
-            for part in slices(batch, text_col):
-                sets = [spot(x) for x in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(encode, sets), pa.string()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "fingerprint", "spots"])
+    anchors: tuple[bytes, ...] = ()
+    chain: int = 2
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string, spots array<bigint>")
+    def maker(self):
+        spot = Spotter(list(self.anchors), self.chain)
+        return lambda text: spot(text) << np.uint64(15)
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", anchors: int = 64, chain: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Membership (id_col, class_id: the smallest id of equal fingerprints) and pairs (a, b, likeness) of classes.
+def near_classes(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", anchors: int = 64, chain: int = 2) -> DataFrame:
+    """id_col, n_spots, class_id for every row of docs: the smallest id that links of likeness num / den or more reach.
 
-    Sets lie in partitions by length whose bounds grow by 1/threshold; a set meets its own partition and the next.
-    There, pairs come from spots among the first n - ceil(threshold * n) + 1 of both (in hash order).
+    Documents meet in lists of a spot that one of two alike sets must share, rarest spots first, in order of set length and
+    parted where lengths are too far apart; sets are compared along a tree that drops what the bound on the rest rules
+    out (see shingle_join, which does it for shingles).  No list is paired with itself, however long it is.
     """
-    made = written(fingerprints(docs, id_col, text_col, anchors, chain), "spots")
-    member = made.groupBy("fingerprint").agg(F.min(id_col).alias("class_id"), F.first("spots").alias("spots"))
-    member = written(member, "classes")
-    n = F.size("spots")
-    length = F.floor(F.log(n.cast("double")) / F.lit(-np.log(threshold))).cast("int")
-    sets = member.where(n > 0).withColumn("n", n).withColumn("part", length)
-    lead = F.slice("spots", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    index = sets.select("class_id", "n", "part", F.explode(lead).alias("spot"))
-    probe = index.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") - 1)))
-    a, b = index.alias("a"), probe.alias("b")
-    met = (F.col("a.spot") == F.col("b.spot")) & (F.col("a.part") == F.col("b.part"))
-    either = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class_id") < F.col("b.class_id")))
-    pairs = a.join(b, met & either & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9)).select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
-    left = sets.select(F.col("class_id").alias("a"), F.col("spots").alias("_x"))
-    right = sets.select(F.col("class_id").alias("b"), F.col("spots").alias("_y"))
-    shared = F.size(F.array_intersect("_x", "_y"))
-    pairs = pairs.join(left, "a").join(right, "b").withColumn("likeness", shared / (F.size("_x") + F.size("_y") - shared))
-    return made.join(member.drop("spots"), "fingerprint").select(id_col, "class_id"), pairs.where(F.col("likeness") >= threshold - 1e-12).select("a", "b", "likeness")
+    rule = SpotRule(chain + 1, num, den, tuple(common_words(docs, text_col, anchors)), chain)
+    found = jaccard_components(docs, id_col, text_col, rule)
+    return found.withColumnRenamed("n_shingles", "n_spots").withColumnRenamed("component_id", "class_id")

@@ -174,19 +174,22 @@ def test_fingerprints_of_edits(spark, repeat):
 def test_near_classes_equal_brute_force(spark):
     rows = corpus(120)
     docs = table(spark, rows)
-    member, pairs = spots.near_classes(docs, 0.6)
-    spot = spots.Spotter(spots.common_words(docs))
-    sets = {i: frozenset(spot(t).tolist()) for i, t in rows}
-    first = {}
-    for i in sorted(sets):
-        first.setdefault(sets[i], i)
-    assert {r[0]: r[1] for r in member.collect()} == {i: first[s] for i, s in sets.items()}
-    want = set()
-    for x, a in first.items():
-        for y, b in first.items():
-            if x and y and (len(x), a) < (len(y), b) and len(x & y) >= 0.6 * len(x | y):
-                want.add((a, b))
-    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
+    anchors = {w.decode() for w in spots.common_words(docs)}
+    sets = {i: naive_spots(t, anchors) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and x and y and 10 * len(x & y) >= 6 * len(x | y):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = sorted((i, len(s), find(i)) for i, s in sets.items())
+    assert sorted(map(tuple, spots.near_classes(docs, 6, 10).collect())) == want and sum(i != c for i, _, c in want) > 20
 
 
 def classes_of(model, found):
