@@ -385,6 +385,22 @@ DECISIONS = RULES.rstrip().rstrip("}") + """
     }
 }
 """
+#: Decisions that look back: at an earlier problem, which takes this one back, and at another cause.
+LOOKBACK = RULES.rstrip().rstrip("}") + """
+    decision once {
+        scope: ClientMac
+        anchor d: Problem(ShopDown)
+        correlate u: Problem(ShopDown) { topo: same_client(u.target, d.target) time: u.time in [d.time - 259200s, d.time] }
+        if present(u) { action suppress_symptom(d) { reason: "known", evidence: [u] } }
+    }
+    decision both {
+        scope: ClientMac
+        anchor b: Cause(CheckoutBroken) { b.confidence > 50 }
+        correlate l: Cause(ClientLeft) { topo: same_client(l.target, b.target) time: l.time in [b.time - 360000s, b.time + 72000s] }
+        if present(l) { emit Problem(ClientsLeave) { target: l.target, evidence: [b, l] } } else { emit Problem(ShopClosed) { target: b.target } }
+    }
+}
+"""
 CATALOG = Catalog(
     events={f"shop.{n}": EventType(("ClientMac",), {"time": "int", "target": "scope:ClientMac", "value_c": "int", "k": "int", "network": "scope:Vlan"}) for n in ("error", "purchase", "click", "signup", "view", "flush")},
     causes={"CheckoutBroken": ("ClientMac", "Vlan"), "ClientLeft": ("ClientMac", "Vlan")},
@@ -445,6 +461,21 @@ def ruleset_decisions(spark, d):
     return found.unionByName(done.select(client, F.col("exec_ms").alias("time_ms"), F.col("kind").alias("what"), "rule", F.col("argument").alias("severity"), F.lit(None).cast("string").alias("cause")))
 
 
+@query(_SHOP + f""", again AS (SELECT d.* FROM down d WHERE EXISTS (SELECT 1 FROM down u WHERE u.user_id = d.user_id AND u.exec_ms >= d.exec_ms - 259200000 AND (u.exec_ms, u.event_id) < (d.exec_ms, d.event_id))),
+firsts AS (SELECT user_id, cause, arg_min(time_ms, (exec_ms, event_id)) AS t, min((exec_ms, event_id)) AS o FROM infers GROUP BY user_id, cause),
+met AS (SELECT d.user_id, d.exec_ms, d.event_id, bool_or(coalesce(l.o < (d.exec_ms, d.event_id) AND l.t BETWEEN b.t - 360000000 AND b.t + 72000000, false)) AS left_before
+ FROM runs d JOIN firsts b ON b.user_id = d.user_id AND b.cause = 'CheckoutBroken' LEFT JOIN firsts l ON l.user_id = d.user_id AND l.cause = 'ClientLeft'
+ WHERE d.cause = 'CheckoutBroken' AND d.confidence > 50 GROUP BY ALL),
+kept AS (SELECT * FROM met QUALIFY coalesce(exec_ms > lag(exec_ms) OVER (PARTITION BY user_id, left_before ORDER BY exec_ms, event_id), true))
+SELECT user_id::VARCHAR AS client, exec_ms AS time_ms, 'ShopDown' AS problem,
+ EXISTS (SELECT 1 FROM again a WHERE a.user_id = d.user_id AND (a.exec_ms, a.event_id) >= (d.exec_ms, d.event_id)) AS superseded FROM down d UNION ALL
+SELECT user_id::VARCHAR, exec_ms, CASE WHEN left_before THEN 'ClientsLeave' ELSE 'ShopClosed' END, false FROM kept""")
+def ruleset_lookback(spark, d):
+    """Decisions that look back at problems and causes, and problems that they take back."""
+    plan = rule_plan.compile_rules(rule_text.parse(LOOKBACK), rule_events(spark, d), CATALOG, LIMITS)
+    return plan.problems.select(F.col("scope_key").alias("client"), "time_ms", "problem", "superseded")
+
+
 ORDERED = RULES.replace("e.time + 43200s]", "e.time]").replace("target: e.target, evidence", "target: e.network, evidence")
 
 

@@ -161,15 +161,20 @@ def test_plan_equals_ordered_layer(spark):
     assert done == set(zip(own.target, own.kind)) and {k for _, k in done} == {"run_check", "request_observation"}
 
 
-def test_plans_refuse_what_looks_back(spark):
-    events = queries.rule_events(spark, SF)
-    back = """decision %s { scope: ClientMac anchor d: Problem(ShopDown)
-        correlate u: Problem(ShopDown) { topo: same_client(u.target, d.target) time: u.time in [d.time - 30s, d.time] }
-        if present(u) { action suppress_symptom(d) { } } } }"""
-    on = 'decision on { scope: ClientMac anchor a: Problem(AmbiguousDiagnosis) action run_check(lldp_poll) { target: a.target } } }'
-    for more in (back % "twice", on):
-        with pytest.raises(ValueError, match="ordered layer"):
-            rule_plan.compile_rules(rule_text.parse(queries.RULES.rstrip().rstrip("}") + more), events, queries.CATALOG, queries.LIMITS)
+def test_plan_looks_back_as_the_ordered_layer_does(spark):
+    rules = rule_text.parse(queries.LOOKBACK.replace("e.time + 43200s]", "e.time]"))
+    plan = rule_plan.compile_rules(rules, queries.rule_events(spark, SF), queries.CATALOG, queries.LIMITS)
+    replay = engine.run_groups(queries.flat_events(spark, SF), "root", rules, queries.CATALOG, queries.LIMITS).toPandas()
+    own = replay[(replay.part == "problem") & (replay.kind != "AmbiguousDiagnosis")]
+    want = sorted(zip(own.scope, own.kind, own.target, own.time_ms.astype(int), own.superseded.astype(bool)))
+    got = sorted(map(tuple, plan.problems.select(F.concat(F.lit("ClientMac:"), "scope_key"), "problem", "target", "time_ms", "superseded").collect()))
+    assert got == want and {k for _, k, *_ in got} == {"ShopDown", "ShopClosed", "ClientsLeave"} and {x[-1] for x in got} == {True, False}
+
+
+def test_plans_refuse_ambiguity(spark):
+    on = "decision on { scope: ClientMac anchor a: Problem(AmbiguousDiagnosis) action run_check(lldp_poll) { target: a.target } } }"
+    with pytest.raises(ValueError, match="ordered layer"):
+        rule_plan.compile_rules(rule_text.parse(queries.RULES.rstrip().rstrip("}") + on), queries.rule_events(spark, SF), queries.CATALOG, queries.LIMITS)
 
 
 def test_watermark_in_slots(spark):
