@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,11 @@ class Invalid(ValueError):
 
 
 class NeedMore(Exception):
-    """A stream that ends inside a field."""
+    """A stream that ends inside a field, which needs so many bytes more."""
+
+    def __init__(self, needed: int = 1):
+        super().__init__(f"{needed} more bytes are needed")
+        self.needed = needed
 
 
 def compute(op: str, a: int, b: int) -> int:
@@ -205,7 +210,7 @@ class Decoder:
             else:
                 size = evaluate(s.size, get)
                 if self.protocol.stream and self.at + size > len(self.data):
-                    raise NeedMore
+                    raise NeedMore(self.at + size - len(self.data))
                 value = int.from_bytes(self.data[self.at : self.at + min(size, 8)], "big")
                 self.rest = (self.at, min(len(self.data), self.at + size))
                 self.at += size
@@ -215,7 +220,7 @@ class Decoder:
     def _number(self, size: int, little: bool) -> int:
         if self.at + size > len(self.data):
             if self.protocol.stream:
-                raise NeedMore
+                raise NeedMore(self.at + size - len(self.data))
             return 0
         self.at += size
         return int.from_bytes(self.data[self.at - size : self.at], "little" if little else "big")
@@ -253,6 +258,61 @@ class Decoder:
             self.fields[f"{prefix}{s.name}.carries.{name}"] = self.locals[inner + name]
 
 
+class Resumable:
+    """Messages of a stream that comes in pieces.  What is not decoded yet is kept, and decoded again with the next piece.
+
+    A message decodes to the same fields however the stream is cut, as decoding looks at nothing but its bytes.  More than
+    limit bytes of one message are an error; after an error nothing is decoded any more.
+    """
+
+    def __init__(self, protocol: Protocol, compat: bool = False, limit: int = 1 << 20):
+        self.decoder, self.limit, self.data, self.needed, self.error = Decoder(protocol, compat), limit, b"", 1, None
+
+    def feed(self, piece: bytes) -> list[Decoded]:
+        """The messages that end in this piece; needed is then the least number of bytes until the next field."""
+        found: list[Decoded] = []
+        self.data += piece
+        while self.data and not self.error:
+            try:
+                got = self.decoder.decode(self.data)
+            except NeedMore as why:
+                self.needed = why.needed
+                if len(self.data) > self.limit:
+                    self.error = "the buffer is full"
+                return found
+            if got.error or not got.consumed:
+                self.error = got.error or "a message without bytes"
+                break
+            found.append(got)
+            self.data, self.needed = self.data[got.consumed :], 1
+        return found
+
+
+def resume_column(df: DataFrame, key: str, order: list[str], buffer: str, protocol: Protocol, compat: bool = False, limit: int = 1 << 20) -> DataFrame:
+    """df with done (the fields of each message that ends in the row's piece), needed (bytes until the next field, null
+    after an error) and error; pieces of a flow (key) follow one another in order.
+
+    Flows stream by; a task holds one batch, and of one flow what is not decoded yet.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stream = None, None
+        for batch in batches:
+            done, needed, errors = [], [], []
+            for k, piece in zip(batch.column(key).to_pylist(), batch.column(buffer).to_pylist()):
+                if stream is None or k != at:
+                    at, stream = k, Resumable(protocol, compat, limit)
+                done.append([list({n: Decimal(v) for n, v in got.fields.items()}.items()) for got in stream.feed(piece or b"")])
+                needed.append(None if stream.error else stream.needed)
+                errors.append(stream.error)
+            kind = pa.list_(pa.map_(pa.string(), pa.decimal128(20, 0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, kind), pa.array(needed, pa.int64()), pa.array(errors, pa.string())], [*batch.schema.names, "done", "needed", "error"])
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(fold, f"{names}, done array<map<string,decimal(20,0)>>, needed long, error string")
+
+
 def decode_column(df: DataFrame, buffer: str, protocol: Protocol, compat: bool = False, layers: bool = False) -> DataFrame:
     """df with fields (map of decimals), emitted (array of name and value), consumed and error, decoded over Arrow batches.
 

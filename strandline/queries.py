@@ -721,6 +721,25 @@ def reassembly(spark, d):
     return got.select("l_orderkey", "n_segments", F.col("payload").cast("string").alias("payload"))
 
 
+@query("""WITH m AS (SELECT l_orderkey AS flow, l_linenumber::BIGINT AS n, coalesce(sum(l_linenumber + 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS head FROM lineitem),
+f AS (SELECT flow, max(head + n + 1) AS size FROM m GROUP BY flow), c AS (SELECT flow, size, unnest(range(0, size, 5)) AS pos FROM f),
+j AS (SELECT c.flow, c.pos, least(c.pos + 5, c.size) AS upto, m.head, m.n, m.head + m.n + 1 AS stop FROM c JOIN m ON m.flow = c.flow)
+SELECT flow, pos // 5 AS piece, count(*) FILTER (WHERE stop > pos AND stop <= upto) AS messages, (coalesce(sum(n) FILTER (WHERE stop > pos AND stop <= upto), 0))::BIGINT AS total,
+ coalesce(max(stop - upto) FILTER (WHERE head < upto AND stop > upto), 1)::BIGINT AS needed FROM j GROUP BY flow, pos, upto""")
+def wire_resume(spark, d):
+    """Messages of a size and so many bytes, one after the other in a stream that comes in pieces of five bytes."""
+    w = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    one = F.concat(put("l_linenumber", 1), F.expr("repeat('AB', cast(l_linenumber as int))"))
+    flows = source.tables(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("flow")).agg(F.array_sort(F.collect_list(F.struct(*w, one.alias("hex")))).alias("m"))
+    whole = flows.select("flow", F.array_join(F.transform("m", lambda x: x["hex"]), "").alias("hex"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("hex") - 1) / 10).cast("int")), lambda i: F.substring(F.col("hex"), i * 10 + 1, F.lit(10)))
+    rows = whole.select("flow", F.posexplode(pieces).alias("piece", "part")).select("flow", F.col("piece").cast("long").alias("piece"), F.unhex("part").alias("part"))
+    p = wire_text.one("protocol Sized { meta { mode = stream; } message M { n: u8; body: bytes[n]; } }")
+    got = wire_decode.resume_column(rows, "flow", ["piece"], "part", p)
+    total = F.aggregate("done", F.lit(0).cast("long"), lambda a, m: a + m["n"].cast("long"))
+    return got.select("flow", "piece", F.size("done").cast("long").alias("messages"), total.alias("total"), "needed")
+
+
 @query("""WITH RECURSIVE s AS (SELECT l_orderkey AS flow, l_linenumber * 10 AS pos, repeat(chr(64 + l_linenumber::INT), 10 * (1 + (l_partkey % 3)::INT)) AS body FROM lineitem WHERE l_suppkey % 11 <> 0),
 u AS (SELECT flow, pos, arg_max(body, length(body)) AS body FROM s GROUP BY flow, pos),
 r(flow, upto, n, payload) AS (SELECT DISTINCT flow, 10::BIGINT, 0::BIGINT, '' FROM s UNION ALL

@@ -217,6 +217,37 @@ def test_unknown_message_is_an_error():
     assert one("message M { a: Nothing; }", "00").error == "no message Nothing"
 
 
+def test_a_stream_in_any_pieces(spark):
+    from strandline.plans.wire_decode import Resumable, resume_column
+
+    p = wire_text.one("protocol S { meta { endian = big; mode = stream; } message M { n: u16; k: u8; loop l while __count < (n & 3) { x: u24; } s: bytes[k & 7]; b: bitfield{12}; t: u8; } }")
+    rng = random.Random(6)
+    data = b"".join(bytes([rng.randrange(256), rng.randrange(256), rng.randrange(256)]) + bytes(rng.randrange(256) for _ in range(30)) for _ in range(20))
+    whole = Resumable(p)
+    want = [g.fields for g in whole.feed(data)]
+    assert len(want) > 10
+    rows = []
+    for k in range(30):
+        cuts = sorted(rng.sample(range(1, len(data)), rng.randrange(1, 60)))
+        pieces = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        stream, found, left = Resumable(p), [], 1
+        for i, piece in enumerate(pieces):
+            got = stream.feed(piece)
+            assert not (got and len(piece) < left) and stream.needed >= 1
+            left = stream.needed
+            found += [g.fields for g in got]
+            rows.append((k, i, bytearray(piece)))
+        assert found == want and stream.data == whole.data and stream.needed == whole.needed
+    df = spark.createDataFrame(rows, "k int, i int, b binary").repartition(5)
+    got = {}
+    for r in sorted(resume_column(df, "k", ["i"], "b", p).collect(), key=lambda r: (r["k"], r["i"])):
+        got.setdefault(r["k"], []).extend({n: int(v) for n, v in m.items()} for m in r["done"])
+    assert set(got) == set(range(30)) and all(x == want for x in got.values())
+    small = Resumable(wire_text.one("protocol S { meta { mode = stream; } message M { n: u32; s: bytes[n]; } }"), limit=8)
+    small.feed(b"\0\0\1\0")
+    assert small.needed == 256 and small.feed(b"123456") == [] and small.error == "the buffer is full" and small.feed(b"7") == []
+
+
 FORMATS = {
     "numbers": "message M { a: u24; b: u16le; c: u32 if a > 70000; d: u8; e: u64le; f: u64; }",
     "bits": "message M { a: bitfield{3}; b: bitfield{7}; c: u8; d: bitfield{13}; e: u16; }",
