@@ -154,13 +154,18 @@ class Engine:
             last = next(i for i in reversed(range(len(self.waiting))) if self.waiting[i][1] == scope)
             del self.waiting[last]
             p.pending -= 1
-            self.diagnostics.append(("ADGL3005", f"{scope}: an anchor that waits longest was dropped"))
+            self.diagnostics.append(("ADGL3004", f"{scope}: an anchor that waits longest was dropped"))
 
     def _resume(self) -> None:
         n = bisect_left(self.waiting, self.watermark, key=lambda x: x[0])
         ready, self.waiting = self.waiting[:n], self.waiting[n:]
         for _, scope, _, _, rule, event in ready:
-            self.part(scope).pending -= 1
+            p = self.part(scope)
+            p.pending -= 1
+            at = bisect_left(p.ring, (event["time_ms"],), key=lambda x: x[:1])
+            if not any(x[2]["event_id"] == event["event_id"] for x in p.ring[at : bisect_right(p.ring, event["time_ms"], key=lambda x: x[0])]):
+                self.diagnostics.append(("MissingAnchor", f"{rule.name}: the anchor {event['event_id']} has gone"))
+                continue
             self.left = self.limits.firings
             self._run(rule, scope, Binding("event", node=event))
 

@@ -62,6 +62,28 @@ def upstream_of(edges: dict, known: set, up, down, hops: int = 16) -> tuple[bool
     return found, None
 
 
+def upstream(pairs: DataFrame, up: Column, down: Column, known: DataFrame, edges: DataFrame, hops: int = 16, out: str = "_true") -> DataFrame:
+    """pairs with whether up is met on the way up from down, in three values: as upstream_of, for whole tables.
+
+    A node is not above itself; a pair with an unknown node is null; a way up that leads into a cycle is false, and so is one
+    longer than hops steps to a node that is compared.  edges(up, down) and known(node) are as small as a topology.
+    """
+    above = reach(edges, hops + 1)
+    direct = edges.select(F.col("up").alias("_u"), F.col("down").alias("_d")).distinct()
+    # A node of a cycle is above a node that is above it, or above itself.
+    turning = above.join(direct, (F.col("up") == F.col("_d")) & (F.col("down") == F.col("_u"))).select(F.col("up").alias("node")).unionByName(direct.where("_u = _d").select(F.col("_u").alias("node")))
+    into = above.join(turning.distinct(), F.col("up") == F.col("node"), "left_semi").select(F.col("down").alias("_bad")).unionByName(turning.select(F.col("node").alias("_bad"))).distinct()
+    nodes = known.select("node").distinct()
+    rows = pairs.withColumn("_x", up).withColumn("_y", down)
+    rows = rows.join(above.select(F.col("up").alias("_cu"), F.col("down").alias("_cd"), F.lit(True).alias("_met")), (F.col("_x") == F.col("_cu")) & (F.col("_y") == F.col("_cd")), "left")
+    rows = rows.join(into.withColumn("_cycle", F.lit(True)), F.col("_y") == F.col("_bad"), "left")
+    for side in "xy":
+        rows = rows.join(nodes.select(F.col("node").alias(f"_k{side}"), F.lit(True).alias(f"_has_{side}")), F.col(f"_{side}") == F.col(f"_k{side}"), "left")
+    value = F.when(F.col("_x") == F.col("_y"), False).when(F.col("_has_x").isNull() | F.col("_has_y").isNull(), F.lit(None).cast("boolean"))
+    value = value.when(F.col("_cycle"), False).otherwise(F.coalesce("_met", F.lit(False)))
+    return rows.withColumn(out, value).drop("_x", "_y", "_cu", "_cd", "_met", "_bad", "_cycle", "_kx", "_ky", "_has_x", "_has_y")
+
+
 def reach(upstream: DataFrame, hops: int = 16, limit: int = 1_000_000) -> DataFrame:
     """(up, down, n): every node above a node, by a bounded walk of frontier joins; n is the least number of steps.
 

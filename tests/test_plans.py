@@ -237,3 +237,22 @@ def test_keys(spark):
     ends = [(ip("0A000001"), F.lit(5)), (ip("20010DB8000000000000000000000001"), F.lit(6))]
     row = df.select(keys.session_key(*ends).alias("x"), keys.session_key(*reversed(ends)).alias("y"), keys.address(ip("0A000001")).alias("a")).first()
     assert row["x"] == row["y"] and bytes(row["a"]).hex() == "00000000000000000000ffff0a000001"
+
+
+def test_sinks(spark, tmp_path):
+    from strandline.sources.sinks import Sinks
+
+    sinks, got = Sinks(), []
+    sinks.register("list", lambda rows, batch: got.extend((batch, r["n"]) for r in rows.collect()))
+    sinks.table("files", str(tmp_path / "out"))
+    rows = spark.createDataFrame([("problem", 1), ("audit", 2), ("cause", 3)], "part string, n int")
+    sinks.route(rows, "part", {"problem": "list", "audit": "files"})
+    assert got == [(None, 1)] and [r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
+    for wrong in (lambda: sinks.deliver("nothing", rows), lambda: sinks.register("list", print)):
+        with pytest.raises((KeyError, ValueError)):
+            wrong()
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    sinks.table("streamed", str(tmp_path / "streamed"))
+    sinks.start(stream, "part", {"cause": "streamed"}, str(tmp_path / "check"), "append").trigger(availableNow=True).start().awaitTermination()
+    assert [r["n"] for r in spark.read.parquet(str(tmp_path / "streamed")).collect()] == [3]

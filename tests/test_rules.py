@@ -150,11 +150,16 @@ def test_limits():
     engine, got = run([warm(i, 1000 + i, target=("Port", f"t{i}")) for i in range(5)], limits=Limits(causes=2))
     assert len([c for c in got["causes"] if c["scope"] == S]) == 2 and "ADGL3102" in {c for c, _ in engine.diagnostics}
     engine, got = run([warm(i, 1000 * i) for i in range(6)], limits=Limits(pending=1))
-    assert "ADGL3005" not in {c for c, _ in engine.diagnostics} or got["causes"]
+    assert "ADGL3004" in {c for c, _ in engine.diagnostics} and got["causes"]
     engine, _ = run([warm(i, 1000 * i) for i in range(200)])
     assert len(engine.part(S).ring) <= 61 + 15
 
 
+def test_an_anchor_that_made_room_is_not_decided():
+    engine, got = run([warm(1, 8000), *(event(i, "port.link_flap", 8000 + i) for i in range(2, 6)), event(9, "port.link_flap", 20_000)], limits=Limits(events=3))
+    assert not got["causes"] and ("MissingAnchor", "warming: the anchor 1 has gone") in engine.diagnostics
+
+
 SUPPRESS = """ruleset "r" { version = "1"
     evidence flap { scope: Port anchor e: event(port.link_flap) infer Cause(PhysicalLinkAbsent) { target: e.target, weight: +90 } }
     decision down { scope: Port anchor c: Cause(PhysicalLinkAbsent) { c.confidence >= 80 } emit Problem(DeviceUnreachable) { target: c.target } }
