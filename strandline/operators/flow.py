@@ -83,8 +83,10 @@ class Sessions:
         return gone
 
 
-def run_machine(messages: DataFrame, machine: Machine, key: str, order: list[str], message: str, context: list[str]) -> DataFrame:
-    """Each message with the state of its flow before and after it, and what it emitted.
+def run_machine(messages: DataFrame, machine: Machine, key: str, order: list[str], message: str, context: list[str], idle: int | None = None) -> DataFrame:
+    """Each message with the state of its flow before and after it, what it emitted, and whether a session expired before it.
+
+    idle: a gap of order[0] (a number) above it ends a session: state, variables and timers start anew.
 
     Flows stream by in their order, one after the other; a task holds one batch of rows and one session, however long a
     flow is.  One flow is the work of one task, as a machine with variables is sequential.
@@ -92,20 +94,25 @@ def run_machine(messages: DataFrame, machine: Machine, key: str, order: list[str
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sessions = object(), None
+        at, last, sessions = None, 0, None
         for batch in batches:
-            found: tuple[list, list, list] = ([], [], [])
+            found: tuple[list, list, list, list] = ([], [], [], [])
             values = [batch.column(c).to_pylist() for c in context]
-            for k, kind, *given in zip(batch.column(key).to_pylist(), batch.column(message).to_pylist(), *values):
-                if sessions is None or k != at:
+            times = batch.column(order[0]).to_pylist() if idle is not None else [0] * batch.num_rows
+            for k, t, kind, *given in zip(batch.column(key).to_pylist(), times, batch.column(message).to_pylist(), *values):
+                new = sessions is None or k != at
+                over = not new and idle is not None and t - last > idle
+                if new or over:
                     at, sessions = k, Sessions(machine)
+                last = t
                 step = sessions.feed(0, kind, {c: int(v) for c, v in zip(context, given) if v is not None})
-                for out, value in zip(found, (*step[:2], ",".join(step[2]))):
+                for out, value in zip(found, (*step[:2], ",".join(step[2]), over)):
                     out.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.string()) for c in found)], [*batch.schema.names, "state_before", "state_after", "emitted"])
+            texts = [pa.array(c, pa.string()) for c in found[:3]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *texts, pa.array(found[3], pa.bool_())], [*batch.schema.names, "state_before", "state_after", "emitted", "expired"])
 
     dealt = messages.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, *order)
-    return dealt.mapInArrow(fold, f"{names}, state_before string, state_after string, emitted string")
+    return dealt.mapInArrow(fold, f"{names}, state_before string, state_after string, emitted string, expired boolean")
 
 
 def table_machine(messages: DataFrame, key: list[str], order: list[str], symbol: Column, moves: dict[str, dict[str, str]], initial: str, slot: Column) -> DataFrame:

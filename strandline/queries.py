@@ -712,6 +712,18 @@ def flow_machine(spark, d):
     return flow.run_machine(rows, machine, "user_id", ORDER, "event_type", ["k"]).select("event_id", "state_after", "emitted")
 
 
+@query(f"""WITH RECURSIVE {EV}, g AS (SELECT user_id, event_id, event_type, k, row_number() OVER w AS n, coalesce(time_ms - lag(time_ms) OVER w > {BACK}, false) AS expired FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY time_ms, event_id)),
+r(user_id, n, event_id, state, req, expired) AS (SELECT user_id, 0::BIGINT, -1::BIGINT, 'IDLE', 0::BIGINT, false FROM g WHERE n = 1 UNION ALL SELECT user_id, n, event_id,
+ CASE WHEN was = 'IDLE' AND event_type = 'click' AND k > 20 THEN 'PENDING' WHEN was = 'PENDING' AND (event_type = 'purchase' AND k <> old OR event_type = 'error') THEN 'IDLE' ELSE was END,
+ CASE WHEN was = 'IDLE' AND event_type = 'click' AND k > 20 THEN k ELSE old END, expired
+ FROM (SELECT g.*, CASE WHEN g.expired THEN 'IDLE' ELSE r.state END AS was, CASE WHEN g.expired THEN 0 ELSE r.req END AS old FROM r JOIN g ON g.user_id = r.user_id AND g.n = r.n + 1))
+SELECT event_id, state AS state_after, expired FROM r WHERE n > 0""")
+def flow_machine_expiry(spark, d):
+    """The machine with sessions that end after six idle hours and start anew."""
+    rows = ev(spark, d).select("user_id", "event_id", "time_ms", "event_type", "k")
+    return flow.run_machine(rows, wire_text.one(MACHINE).machines[0], "user_id", ORDER, "event_type", ["k"], idle=BACK).select("event_id", "state_after", "expired")
+
+
 @query(f"""WITH {EV} SELECT s.event_id, s.time_ms + {WINDOW} AS deadline FROM ev s WHERE s.event_type = 'click' AND NOT EXISTS (SELECT 1 FROM ev c WHERE c.event_type = 'purchase' AND c.user_id = s.user_id
  AND c.time_ms > s.time_ms AND c.time_ms <= s.time_ms + {WINDOW})""")
 def flow_timers(spark, d):
