@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-ALL = 1 << 40
+from pyspark.sql import types as T
 
 
 def first_in_window(infers: DataFrame, keys: list[str], window: int, order: list[str]) -> DataFrame:
@@ -15,43 +18,45 @@ def first_in_window(infers: DataFrame, keys: list[str], window: int, order: list
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_window")
 
 
-def _through(x: Column, f: Column) -> Column:
-    """The value after the clamped additions that f = (sum, low, high) stands for."""
-    return F.least(f["high"], F.greatest(f["low"], x + f["sum"]))
+def in_order(rows: DataFrame, keys: list[str], order: list[str], read: str, fold: Callable, name: str, kind: T.DataType) -> DataFrame:
+    """rows with a column that depends on the rows before it of the same keys, in one sorted pass.
+
+    fold(first, values, carried) gets for a run of rows whether each is the first of its keys, the values of the column
+    read, and what it returned for the run before; it returns the new column and what it carries on.  Rows stream by, so a
+    task holds a batch, however many rows a key has; a key is the work of one task.
+    """
+    marked = rows.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None
+        for batch in batches:
+            first = batch.column("_first").to_numpy(zero_copy_only=False)
+            made, carried = fold(first, batch.column(read).to_numpy(zero_copy_only=False), carried)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made)], [*batch.schema.names[:-1], name])
 
-def clamped_sums(rows: DataFrame, keys: list[str], order: list[str], weight: str, block: int) -> DataFrame:
-    """rows with `confidence`, the sum of weights up to each row, held in 0..100 after every step.
+    return marked.mapInArrow(run, T.StructType([*rows.schema, T.StructField(name, kind)]))
 
-    Clamped additions compose: x -> min(high, max(low, x + sum)).  So a key's rows are folded in blocks of `block` ms
-    of time_ms, blocks are composed, and no task gathers more than a block, or one entry for each block of a key.
-    """
-    pick = F.struct(*[F.col(c) for c in order], F.col(weight).cast("long").alias("_w"), F.struct(*rows.columns).alias("_row"))
-    blocks = rows.withColumn("_block", F.floor(F.col("time_ms") / block)).groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(pick)).alias("_items"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-ALL).alias("low"), F.lit(ALL).alias("high"))
-    hold = lambda c: F.least(F.lit(100), F.greatest(F.lit(0), c)).cast("long")
-    whole = F.aggregate(
-        "_items", start, lambda f, i: F.struct((f["sum"] + i["_w"]).alias("sum"), hold(f["low"] + i["_w"]).alias("low"), hold(f["high"] + i["_w"]).alias("high"))
-    )
-    blocks = blocks.withColumn("_f", whole)
-    before = F.collect_list("_f").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.withColumn("_from", F.aggregate(before, F.lit(0).cast("long"), lambda x, f: _through(x, f)))
-    runs = F.aggregate(
-        "_items",
-        F.struct(F.col("_from").alias("x"), F.array().cast("array<bigint>").alias("out")),
-        lambda a, i: F.struct(hold(a["x"] + i["_w"]).alias("x"), F.concat(a["out"], F.array(hold(a["x"] + i["_w"]))).alias("out")),
-    )
-    both = blocks.select(F.explode(F.arrays_zip(F.col("_items"), runs["out"].alias("_c"))).alias("_z"))
-    inner = both.select(F.col("_z._items._row").alias("_row"), F.col("_z").getField("_c").cast("int").alias("confidence"))
-    return inner.select("_row.*", "confidence")
-
-
-def causes(infers: DataFrame, keys: list[str], order: list[str], weight: str = "weight", block: int = 86_400_000, mixed: bool = True) -> DataFrame:
+
+def clamped_sums(rows: DataFrame, keys: list[str], order: list[str], weight: str) -> DataFrame:
+    """rows with `confidence`, the sum of weights up to each row, held in 0..100 after every step."""
+
+    def fold(first: np.ndarray, weights: np.ndarray, x: int | None) -> tuple[np.ndarray, int]:
+        out = np.empty(len(first), dtype=np.int32)
+        for i, (new, w) in enumerate(zip(first.tolist(), weights.tolist())):
+            x = w if new else x + w
+            x = 0 if x < 0 else 100 if x > 100 else x
+            out[i] = x
+        return out, x
+
+    return in_order(rows, keys, order, weight, fold, "confidence", T.IntegerType())
+
+
+def causes(infers: DataFrame, keys: list[str], order: list[str], weight: str = "weight", mixed: bool = True) -> DataFrame:
     """keys, confidence, first_ms (of the first inference).  mixed: whether weights below 0 occur, which need the order."""
     first = F.min_by("time_ms", F.struct(*order))
     if not mixed:
         return infers.groupBy(*keys).agg(F.least(F.lit(100), F.sum(weight)).cast("int").alias("confidence"), first.alias("first_ms"))
-    runs = clamped_sums(infers, keys, order, weight, block)
+    runs = clamped_sums(infers, keys, order, weight)
     return runs.groupBy(*keys).agg(F.max_by("confidence", F.struct(*order)).alias("confidence"), first.alias("first_ms"))
 
 
@@ -61,21 +66,22 @@ def band(confidence: Column) -> Column:
 
 
 def cooled(problems: DataFrame, keys: list[str], cooldown: int, time: str = "time_ms", order: str = "event_id") -> DataFrame:
-    """Problems more than cooldown after the last one kept of the same keys.
-
-    A gap above the cooldown always keeps the row after it, so rows between such gaps are thinned on their own.
-    """
-    w = Window.partitionBy(*keys).orderBy(time, order)
-    gap = F.col(time) - F.lag(time).over(w)
-    rows = problems.withColumn("_new", F.when(gap.isNull() | (gap > cooldown), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w)).drop("_new")
-    runs = rows.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(order).alias("o"), F.struct(*problems.columns).alias("row")))).alias("items"))
-    kind = runs.schema["items"].dataType.simpleString()
-    kept = F.aggregate(
-        "items",
-        F.struct(F.lit(-(1 << 62)).alias("last"), F.array().cast(kind).alias("out")),
-        lambda a, i: F.when(i["t"] - a["last"] > cooldown, F.struct(i["t"].alias("last"), F.concat(a["out"], F.array(i)).alias("out"))).otherwise(a),
-    )
-    return runs.select(F.explode(kept["out"]).alias("i")).select("i.row.*")
+    """Problems more than cooldown after the last one kept of the same keys; the work is one step for each that is kept."""
+
+    def fold(first: np.ndarray, times: np.ndarray, last: int | None) -> tuple[np.ndarray, int | None]:
+        keep = np.zeros(len(first), dtype=bool)
+        starts = np.flatnonzero(first)
+        for i, j in zip([0, *starts], [*starts, len(first)]):
+            if i < j and first[i]:
+                last = None
+            while i < j:
+                i = i if last is None else i + int(np.searchsorted(times[i:j], last + cooldown, side="right"))
+                if i < j:
+                    keep[i], last = True, int(times[i])
+                    i += 1
+        return keep, last
+
+    return in_order(problems, keys, [time, order], time, fold, "_kept", T.BooleanType()).where("_kept").drop("_kept")
 
 
 def rolled_up(found: DataFrame, scope: str, target: str, keys: list[str]) -> DataFrame:

@@ -126,7 +126,7 @@ def compile_rules(rules: Ruleset, events: DataFrame, catalog: Catalog, limits: L
     order = ["exec_ms", "place", "event_id"]
     keys = ["scope_type", "scope_key", "kind", "target"]
     infers = evidence.first_in_window(union(parts["infer"]), ["rule", *keys], limits.dedup_window, order)
-    runs = evidence.clamped_sums(infers, keys, order, "weight", max(limits.max_lookback, 86_400_000))
+    runs = evidence.clamped_sums(infers, keys, order, "weight")
     causes = runs.groupBy(*keys).agg(F.max_by("confidence", F.struct(*order)).alias("confidence"), F.min_by("time_ms", F.struct(*order)).alias("first_ms"))
 
     first = runs.groupBy(*keys).agg(F.min(F.struct("exec_ms", F.col("place").cast("int").alias("place"), "event_id", F.lit(-1).alias("rank"))).alias("_ord"), F.min_by("time_ms", F.struct(*order)).alias("time_ms"))

@@ -208,7 +208,7 @@ def infers(spark, d) -> DataFrame:
 
 
 def found_causes(spark, d) -> DataFrame:
-    return evidence.causes(infers(spark, d), KEYS, ORDER, block=7 * WINDOW)
+    return evidence.causes(infers(spark, d), KEYS, ORDER)
 
 
 @query(_INFERS + " SELECT event_id, user_id, cause, weight FROM infers")
@@ -243,7 +243,7 @@ _RUNS = _INFERS + """, pre AS (SELECT i.*, (SELECT list_reduce(list_prepend(0, l
 
 
 def decided(spark, d) -> DataFrame:
-    return evidence.clamped_sums(infers(spark, d), KEYS, ORDER, "weight", 7 * WINDOW).where("confidence >= 80")
+    return evidence.clamped_sums(infers(spark, d), KEYS, ORDER, "weight").where("confidence >= 80")
 
 
 @query(_RUNS + " SELECT event_id, user_id, cause, confidence FROM pre WHERE confidence >= 80")

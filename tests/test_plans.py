@@ -48,8 +48,9 @@ def test_clamped_sums_follow_the_order(spark):
     rng = random.Random(5)
     rows = [(i, rng.randrange(4), rng.randrange(1000), rng.choice([-60, -30, -5, 10, 40, 85])) for i in range(400)]
     df = spark.createDataFrame(rows, "event_id long, k int, time_ms long, weight int")
-    for block in (7, 100, 10_000):
-        got = {r["event_id"]: r["confidence"] for r in evidence.clamped_sums(df, ["k"], ["time_ms", "event_id"], "weight", block).collect()}
+    for batch in (7, 100, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {r["event_id"]: r["confidence"] for r in evidence.clamped_sums(df, ["k"], ["time_ms", "event_id"], "weight").collect()}
         now, want = {}, {}
         for i, k, t, w in sorted(rows, key=lambda r: (r[2], r[0])):
             now[k] = want[i] = max(0, min(100, now.get(k, 0) + w))
@@ -59,7 +60,9 @@ def test_clamped_sums_follow_the_order(spark):
 def test_cooldown_counts_from_the_last_kept(spark):
     rng = random.Random(6)
     rows = [(i, rng.randrange(3), rng.randrange(2000)) for i in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 9)
     got = {r["event_id"] for r in evidence.cooled(spark.createDataFrame(rows, "event_id long, k int, time_ms long"), ["k"], 50).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     last, want = {}, set()
     for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
         if k not in last or t - last[k] > 50:
