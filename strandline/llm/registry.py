@@ -84,10 +84,10 @@ speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM rows WHERE role <> 's
 parts AS (SELECT conv_id, speaker, pos, pos // 256 AS chunk, role = speaker AS loss,
                  '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
                  text || '<|im_end|>' AS said FROM numbered JOIN speakers USING (conv_id)),
-placed AS (SELECT *, (sum(length(head) + length(said) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY pos))::BIGINT - length(said) - 1 AS at FROM parts)
-SELECT conv_id, speaker, chunk, count(*) AS n_turns, count(*) FILTER (WHERE loss) AS n_loss_turns, min(at - length(head)) AS start, sum(length(head) + length(said) + 1)::BIGINT AS n_chars,
+placed AS (SELECT *, (sum(length(head) + length(said) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY pos))::BIGINT - length(said) - 1 AS said_at FROM parts)
+SELECT conv_id, speaker, chunk, count(*) AS n_turns, count(*) FILTER (WHERE loss) AS n_loss_turns, min(said_at - length(head)) AS start, sum(length(head) + length(said) + 1)::BIGINT AS n_chars,
        sha256(string_agg(head || said || chr(10), '' ORDER BY pos)) AS text_sha256,
-       coalesce(string_agg(at || ':' || (at + length(said)), ',' ORDER BY pos) FILTER (WHERE loss), '') AS mask_spans
+       coalesce(string_agg(said_at || ':' || (said_at + length(said)), ',' ORDER BY pos) FILTER (WHERE loss), '') AS mask_spans
 FROM placed GROUP BY conv_id, speaker, chunk
 """
 
