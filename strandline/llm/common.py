@@ -59,6 +59,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def plain_names(docs: DataFrame, *cols: str) -> tuple[list[str], DataFrame, list[str]]:
+    """The columns of docs, docs with plain ones in their place, and the plain ones of cols.  Nothing else is named like them."""
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    return names, docs.toDF(*plain), [plain[names.index(c)] for c in cols]
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

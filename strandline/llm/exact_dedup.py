@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, plain_names, written
 
 #: Ids with digests up to this number are broadcast (48 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -84,6 +84,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """docs with the rows that exact_dedup keeps, all columns as they were; of rows of one id and text one stays."""
+    names, docs, (id_col, text_col) = plain_names(docs, id_col, text_col)
     sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     found = exact_dedup(docs, id_col, text_col, keep).where(~F.col("kept"))
     # An id alone does not name a row: another text can have it, and so can a copy that stays.
@@ -97,4 +98,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = rows.join(gone, same, "left_anti")
     if repeats:
         left = left.unionByName(rows.join(gone.where("_again"), same, "left_semi").dropDuplicates([id_col, "_text_sha"]))
-    return left.drop("_text_sha")
+    return left.drop("_text_sha").toDF(*names)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import plain_names, slices, written
 
 STEPS = 60
 
@@ -171,6 +171,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A row is known by id, source and text; rows that agree in all three are taken one by one like any others.
     """
+    names, docs, (id_col, text_col, source_col) = plain_names(docs, id_col, text_col, source_col)
     sizes = written(measured(docs, text_col, _id=F.col(id_col), _source=_source(source_col)), "sizes")
     taken, _ = _takings(sizes, entropy, repeats, budget)
     times = taken.groupBy("_id", "_source", "_mark", "_nth").agg(F.count("*").alias("_times"))
@@ -183,7 +184,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.withColumn("_own", F.row_number().over(Window.partitionBy(id_col, "_from", "_text_mark").orderBy("_text_mark")))
         same = rows[id_col].eqNullSafe(times["_id"]) & (rows["_from"] == times["_source"]) & (rows["_text_mark"] == times["_mark"]) & (rows["_own"] == times["_nth"])
     found = rows.join(times, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return found.select(*[rows[c] for c in docs.columns])
+    return found.select(*[rows[c] for c in docs.columns]).toDF(*names)
 
 
 def marked(docs: DataFrame, text_col: str) -> DataFrame:

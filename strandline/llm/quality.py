@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import plain_names, slices, written
 
 KNOTS = (0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98)
 FEATURES = 14
@@ -199,5 +199,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> DataFrame:
     """docs without the rows that are rejected; all columns as they were.  Texts are written once with their scores."""
-    model, scored = fit_quality(docs, labels, id_col, text_col, label_col, sample, kept=docs.columns)
-    return scored.where(model.keep(F.col("_raw"))).drop("_raw")
+    labels = labels.select(F.col(id_col).alias("_of"), F.col(label_col).alias("_label"))
+    names, docs, (id_col, text_col) = plain_names(docs, id_col, text_col)
+    model, scored = fit_quality(docs, labels.withColumnRenamed("_of", id_col), id_col, text_col, "_label", sample, kept=docs.columns)
+    return scored.where(model.keep(F.col("_raw"))).drop("_raw").toDF(*names)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, most_frequent, partitions, slices, without, words, written
+from .common import bloom, most_frequent, partitions, plain_names, slices, without, words, written
 from .components import components
 
 TOP = np.uint64(1) << np.uint64(63)
@@ -535,12 +535,13 @@ def _own_texts(members: DataFrame, rule: Rule) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(5, 80, 100)) -> DataFrame:
     """docs with one row of each component, of the smallest id; rows without words all stay."""
+    names, docs, (id_col, text_col) = plain_names(docs, id_col, text_col)
     stays = (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("component_id")) & (F.struct("d1", "d2") == F.col("head")))
     found = written(_verdicts(docs, id_col, text_col, rule).select("id", "d1", "d2", "n", stays.alias("stays")), "verdicts")
     gone = written(found.where(~F.col("stays")).select(F.col("id").alias("_gone")).distinct(), "gone")
     several = written(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("_several")), "several")
     if not several.limit(1).count():
-        return without(docs, id_col, gone, "_gone")
+        return without(docs, id_col, gone, "_gone").toDF(*names)
     # An id of several rows does not name a row: they are judged by id and set.
     left = without(without(docs, id_col, several, "_several"), id_col, gone, "_gone")
     rows = docs.where(bloom(several, "_several")(F.col(id_col)))
@@ -548,7 +549,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = found.where("stays and n > 0").select(F.col("id").alias("_id_kept"), F.col("d1").alias("_k1"), F.col("d2").alias("_k2"))
     same = rows[id_col].eqNullSafe(kept["_id_kept"]) & (rows["_d1"] == kept["_k1"]) & (rows["_d2"] == kept["_k2"])
     one = rows.where("_n > 0").join(kept, same, "left_semi").dropDuplicates([id_col, "_d1", "_d2"])
-    return left.unionByName(rows.where("_n = 0").unionByName(one).drop("_d1", "_d2", "_n"))
+    return left.unionByName(rows.where("_n = 0").unionByName(one).drop("_d1", "_d2", "_n")).toDF(*names)
 
 
 def _with_digests(docs: DataFrame, text_col: str, rule: Rule) -> DataFrame:

@@ -58,6 +58,14 @@ def test_spots(docs):
     assert sorted(r["n_chars"] for r in got) == sorted(len(t or "") for _, t in ROWS)
 
 
+def test_stages_keep_columns_of_any_name(docs):
+    odd = docs.withColumnsRenamed({"h": "_raw", "n": "_text_sha", "kind": "_taken", "train": "_d1"}).where("doc_id is null or doc_id > 2")
+    labels = odd.sparkSession.createDataFrame([(3, 1), (6, 0)], "doc_id long, quality int")
+    for stage in (lambda d: quality.keep_quality(d, labels), exact_dedup.drop_copies, shingle_join.drop_near_copies, lambda d: mixing.mixed_documents(d, repeats=2.0)):
+        got = stage(odd)
+        assert got.columns == odd.columns and {(r["_raw"], r["_text_sha"], r["_taken"], r["_d1"]) for r in got.collect()} == {("e", 1, 2, "t")}
+
+
 def test_mixture_and_bins(docs):
     mixed = mixing.mixed_documents(docs, repeats=2.0)
     assert mixed.columns == docs.columns and set(texts(mixed.collect())) == set(texts(docs.collect()))
