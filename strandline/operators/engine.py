@@ -202,6 +202,8 @@ class Engine:
             return e[1]
         if op == "name":
             root, _, rest = e[1].partition(".")
+            if e[1] == "scope" and root not in names:
+                return scope
             b = names[root]
             if b.state != "Bound":
                 return None

@@ -57,6 +57,8 @@ def _loader(rule: Rule, catalog: Catalog) -> Callable[[str], Column]:
     sources = {rule.anchor: (rule.source, rule.kind)} | {c.name: (c.source, c.kind) for c in rule.correlates}
 
     def load(name: str) -> Column:
+        if name == "scope" and name not in sources:
+            return F.struct("scope_type", F.col("scope_key").alias("key"))
         root, _, rest = name.partition(".")
         at = (lambda c: F.col(c)) if root == rule.anchor else (lambda c: F.col(f"{root}.{c}"))
         last = rest.rpartition(".")[2]
@@ -221,7 +223,7 @@ def _decided(rule: Rule, place: int, runs: DataFrame, first: DataFrame, emitted:
     else:
         return []
     rows = rows.where(F.col("scope_type") == rule.scope)
-    own = lambda n: {"": F.col("target"), "target": F.col("target"), "time": F.col("time_ms")}.get(n.partition(".")[2], F.col("confidence"))
+    own = lambda n: name if n == "scope" and n != rule.anchor else {"": F.col("target"), "target": F.col("target"), "time": F.col("time_ms")}.get(n.partition(".")[2], F.col("confidence"))
     if rule.where is not None:
         rows = rows.where(expression(rule.where, own, None).holds())
     rows = rows.withColumn("_event", F.col("event_id")).withColumn("event_id", F.col("_uid"))

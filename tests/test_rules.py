@@ -155,6 +155,14 @@ def test_limits():
     assert len(engine.part(S).ring) <= 61 + 15
 
 
+def test_the_scope_in_predicates():
+    rules = parse((COLD % "").replace("w.degrees >= 9", "w.target == scope"))
+    assert check(rules, CAT) == []
+    assert confidences(run([warm(1, 8000), door(2, 8100)], rules)[1]) == OPEN
+    assert not run([warm(1, 8000, target=("Port", "south"))], rules)[1]["causes"]
+    assert "ADGL0210" in {c for c, _ in check(parse((COLD % "").replace("w.degrees >= 9", "scope > 4")), CAT)}
+
+
 def test_an_anchor_that_made_room_is_not_decided():
     engine, got = run([warm(1, 8000), *(event(i, "port.link_flap", 8000 + i) for i in range(2, 6)), event(9, "port.link_flap", 20_000)], limits=Limits(events=3))
     assert not got["causes"] and ("MissingAnchor", "warming: the anchor 1 has gone") in engine.diagnostics
