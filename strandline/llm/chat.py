@@ -8,8 +8,9 @@ A dialogue has one rendering for each speaker, which comes in chunks of chunk_tu
 speaker and chunk: the texts of the chunks on end are the whole rendering, and masks count from the start of the dialogue.
 So a conversation of any length is spread over rows of bounded size.  Turns are numbered in two steps, inside
 partitions of a range of turns and by the sizes of those before, and so are offsets: no task holds or orders a whole
-conversation.  Speakers are gathered over the whole conversation: a chunk in which the speaker is silent is
-rendered too, without a mask.
+conversation.  All of that is done without the texts, which are moved twice: to their number, and to their chunk.
+Speakers are gathered over the whole conversation: a chunk in which the speaker is silent is rendered too, without a
+mask.
 
 Everything here is DataFrame operations.
 
@@ -34,33 +35,29 @@ def _plain(c: Column) -> Column:
 
 
 def before(rows: DataFrame, keys: list[str], at: str, size: str, name: str, block: int = 1024) -> DataFrame:
-    """rows with the sum of size over those of equal keys and lower at (which is a number from 0 on), in blocks of at."""
+    """rows with the sum of size over those of equal keys and lower at (which is a number from 0 on), in blocks of at.  Keys are not null."""
     rows = rows.withColumn("_block", F.floor(F.col(at) / block))
-    blocks = rows.groupBy(*keys, "_block").agg(F.sum(size).alias("_sum"))
     sofar = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*keys, "_block").agg(F.sum(size).alias("_sum"))
     blocks = blocks.withColumn("_start", F.coalesce(F.sum("_sum").over(sofar(keys, "_block")), F.lit(0))).drop("_sum")
-    blocks = blocks.select(*[F.col(c).alias(f"_b{c}") for c in (*keys, "_block")], "_start")
     rows = rows.withColumn("_inside", F.coalesce(F.sum(size).over(sofar([*keys, "_block"], at)), F.lit(0)))
-    same = F.lit(True)
-    for c in (*keys, "_block"):
-        same = same & F.col(c).eqNullSafe(F.col(f"_b{c}"))
-    found = rows.join(blocks, same).withColumn(name, F.col("_start") + F.col("_inside"))
-    return found.drop("_block", "_inside", "_start", *[f"_b{c}" for c in (*keys, "_block")])
+    return rows.join(blocks, [*keys, "_block"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_block", "_inside", "_start")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows (_id, turn, role, text) with pos, their place in the conversation from 0 on."""
-    rows = rows.withColumn("_text", F.md5("text")).withColumn("_row", F.monotonically_increasing_id())
+    """rows (_key, turn, role, _text, _row and others) with pos, their place in the conversation _key from 0 on."""
     order = ["turn", "role", "_text", "_row"]
-    dealt = rows.repartitionByRange(partitions(rows.sparkSession), "_id", *order)
-    dealt = written(dealt.withColumn("_part", F.spark_partition_id()), "turns")
-    inside = Window.partitionBy("_id", "_part").orderBy(*order)
-    dealt = dealt.withColumn("_nth", F.row_number().over(inside) - 1)
-    parts = dealt.groupBy("_id", "_part").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("_id").alias("_pid"), F.col("_part").alias("_ppart"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_sofar"))
-    found = dealt.join(parts, F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_part") == F.col("_ppart")))
-    return found.select("_id", "turn", "role", "text", (F.col("_sofar") + F.col("_nth")).cast("long").alias("pos"))
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), "_key", *order)
+    dealt = written(dealt.withColumn("_part", F.spark_partition_id()), "places")
+    dealt = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_part").orderBy(*order)) - 1)
+    parts = dealt.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_sofar", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return dealt.join(parts, ["_key", "_part"]).withColumn("pos", (F.col("_sofar") + F.col("_nth")).cast("long")).drop("_part", "_nth", "_sofar")
+
+
+def _named(role: Column) -> Column:
+    return F.when(role == "system", role).otherwise(F.concat(F.lit("user name="), role))
 
 
 def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk_turns: int = 256) -> DataFrame:
@@ -70,28 +67,36 @@ def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
     """
     rows = turns.select(
         F.col(id_col).alias("_id"),
+        F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias("_key"),
         F.coalesce(F.col(turn_col), F.lit(0)).cast("long").alias("turn"),
         _plain(F.coalesce(F.col(role_col), F.lit("unknown"))).alias("role"),
         _plain(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
     )
-    speakers = rows.where(F.col("role") != "system").select("_id", F.col("role").alias("speaker")).distinct()
-    chunk = F.floor(F.col("pos") / chunk_turns).cast("long")
-    chunks = numbered(rows).groupBy("_id", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
-    both = chunks.join(speakers.withColumnRenamed("_id", "_sid"), F.col("_id").eqNullSafe(F.col("_sid")))
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "turns")
+    # How long a turn is where another speaks, and how much longer where its own speaker is the assistant.
+    others = F.length(F.lit(START)) + F.length(_named(F.col("role"))) + F.length("text") + F.length(F.lit(END)) + 2
+    places = numbered(rows.select("_key", "turn", "role", F.md5("text").alias("_text"), "_row", others.cast("long").alias("_size")))
+    places = written(places.select("_key", "role", "_row", "pos", F.floor(F.col("pos") / chunk_turns).cast("long").alias("chunk"), "_size"), "numbers")
+
+    spoken = places.where(F.col("role") != "system")
+    own = spoken.groupBy("_key", F.col("role").alias("speaker"), "chunk").agg((F.count("*") * (F.length(F.lit("assistant")) - F.length(_named(F.col("speaker"))))).alias("_more"))
+    sizes = places.groupBy("_key", "chunk").agg(F.sum("_size").alias("_size")).join(own.select("_key", "speaker").distinct(), "_key")
+    sizes = sizes.join(own, ["_key", "speaker", "chunk"], "left").withColumn("_size", F.col("_size") + F.coalesce("_more", F.lit(0)))
+    starts = before(sizes.drop("_more"), ["_key", "speaker"], "chunk", "_size", "start").drop("_size")
+
+    chunks = rows.drop("_key", "turn", "role").join(places.select("_key", "role", "_row", "pos", "chunk"), "_row")
+    chunks = chunks.groupBy("_key", "chunk").agg(F.first("_id").alias("_id"), F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
+    both = chunks.join(starts, ["_key", "chunk"])
 
     def part(t: Column) -> Column:
-        who = (
-            F.when(t["role"] == F.col("speaker"), F.lit("assistant"))
-            .when(t["role"] == "system", F.lit("system"))
-            .otherwise(F.concat(F.lit("user name="), t["role"]))
-        )
+        who = F.when(t["role"] == F.col("speaker"), F.lit("assistant")).otherwise(_named(t["role"]))
         return F.struct(F.concat(F.lit(START), who, F.lit("\n")).alias("head"), F.concat(t["text"], F.lit(END)).alias("said"), (t["role"] == F.col("speaker")).alias("loss"))
 
     both = both.withColumn("_parts", F.transform("turns", part))
     span = "struct<start:bigint,end:bigint>"
     at = F.aggregate(
         "_parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("mask")),
+        F.struct(F.col("start").cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("mask")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p["head"]) + F.length(p["said"]) + 1).alias("at"),
             F.when(
@@ -105,15 +110,13 @@ def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
             .alias("mask"),
         ),
     )
-    rendered = both.select(
-        "_id",
+    return both.select(
+        F.col("_id").alias(id_col),
         "speaker",
         "chunk",
         F.size("_parts").cast("long").alias("n_turns"),
         F.size(F.filter("_parts", lambda p: p["loss"])).cast("long").alias("n_loss_turns"),
         F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["said"], F.lit("\n"))), "").alias("text"),
-        at.alias("_at"),
+        F.col("start").cast("long").alias("start"),
+        at["mask"].alias("mask"),
     )
-    rendered = before(rendered.withColumn("_size", F.col("_at")["at"]), ["_id", "speaker"], "chunk", "_size", "start")
-    moved = F.transform(F.col("_at")["mask"], lambda m: F.struct((m["start"] + F.col("start")).alias("start"), (m["end"] + F.col("start")).alias("end")))
-    return rendered.select(F.col("_id").alias(id_col), "speaker", "chunk", "n_turns", "n_loss_turns", "text", "start", moved.alias("mask"))
