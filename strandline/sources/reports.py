@@ -44,14 +44,14 @@ def results(problems: DataFrame, evidence: str | None = None) -> DataFrame:
     return problems.where(~F.col("superseded")).withColumn("result", F.to_json(F.struct(*parts)))
 
 
-def envelope(lines: DataFrame, tool: str = "adgl") -> DataFrame:
+def envelope(lines: DataFrame, tool: str = "strandline") -> DataFrame:
     """The report of one ruleset.  A report is a document: it is made of as many results as its reader can hold."""
     head = json.dumps({"version": "2.1.0", "$schema": SCHEMA, "runs": [{"tool": {"driver": {"name": tool}}}]}, separators=(",", ":"))
     body = F.array_join(F.array_sort(F.collect_list("result")), ",")
     return lines.agg(F.concat(F.lit(head[:-3] + ',"results":['), body, F.lit("]}]}")).alias("report"))
 
 
-def report_lines(lines: DataFrame, path: str, tool: str = "adgl") -> None:
+def report_lines(lines: DataFrame, path: str, tool: str = "strandline") -> None:
     """A report of any size, as a folder of files of results, a line each, and its head in a file beside them."""
     lines.select("result").write.mode("overwrite").text(f"{path}/results")
     envelope(lines.limit(0), tool).write.mode("overwrite").text(f"{path}/head")
