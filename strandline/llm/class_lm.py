@@ -64,7 +64,7 @@ def word_counts(training: DataFrame, text_col: str) -> DataFrame:
             for part in slices(batch, "_text"):
                 for text in part.column("_text").to_pylist():
                     seen.update(words(text))
-                if len(seen) > 400_000:
+                if len(seen) > 250_000:
                     yield rows()
                     seen.clear()
         if seen:
@@ -290,7 +290,7 @@ def _neighbours(coded: DataFrame, first: int, blocks: int, span: int) -> DataFra
                     place = (word[here] % blocks) * span + word[here] // blocks
                     parts.append(place << BITS | near[here] << 1 | side)
                     size += len(here)
-                if size > 4 * STEP:
+                if size > 2 * STEP:
                     yield rows(*np.unique(np.concatenate(parts), return_counts=True))
                     parts, size = [], 0
         if size:
